@@ -7,24 +7,67 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import public_tokenizers
+
+from . import byte_bpe, chat, packing, token_files
+from .common import scratch_path
 from .exact_dedup import exact_dedup
 
+#: The tokenizer files of the contracts; the operators take any path.
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+CHAT = public_tokenizers.path("byte_bpe_50k.json")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = byte_bpe.encode(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, decoded=True)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = scratch_path(spark, "tokens")
+    token_files.write_token_files(_table(spark, sf_dir, "documents"), uri, WORDS, end_id=1)
+    return token_files.read_token_files(spark, uri, ids=False)
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], table.schema)
+    return chat.read_back(chat.format_chats(table.unionByName(more), CHAT))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), WORDS, capacity=2048, end_id=0, ids=False)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_exact_dedup,)}
+    return {f.__name__: f for f in (op3_byte_bpe, op4_token_files, op6_chat_format, op7_packing, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
+    escaped = r"""replace(replace(replace(replace(replace({0}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"""
     return {
+        "op6_chat_format": f"""
+            WITH t AS (
+                SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+                UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+            SELECT conv_id, count(*) AS n_turns,
+                   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+                   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+                   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+                   sum(8 + length({escaped.format("replace(role, chr(10), '!!')")}) + length({escaped.format("text")}))::BIGINT AS formatted_chars
+            FROM t GROUP BY conv_id""",
         "op10_exact_dedup": """
             WITH t AS (
                 SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
