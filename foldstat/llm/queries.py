@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, chat, packing, token_files
+from . import byte_bpe, chat, packing, simhash, token_files, topk
 from .common import scratch_path
 from .exact_dedup import exact_dedup
 
@@ -34,6 +34,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, uri, ids=False)
 
 
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(_table(spark, sf_dir, "embeddings"))
+    return topk.exact_top_k(vectors.filter("vec_id % 20 = 0"), vectors, k=20)
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -45,18 +50,32 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), WORDS, capacity=2048, end_id=0, ids=False)
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_dedup(_table(spark, sf_dir, "documents"), radius=3, shingle=3)
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op4_token_files, op6_chat_format, op7_packing, op10_exact_dedup)}
+    return {f.__name__: f for f in (op3_byte_bpe, op4_token_files, op5_exact_topk, op6_chat_format, op7_packing, op8_simhash, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     escaped = r"""replace(replace(replace(replace(replace({0}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"""
     return {
+        "op5_exact_topk": """
+            WITH v AS (
+                SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS e FROM embeddings
+                WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (
+                SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+                FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+            SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
+            WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 20""",
         "op6_chat_format": f"""
             WITH t AS (
                 SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
