@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, chat, packing, simhash, token_files, topk
+from . import byte_bpe, chat, packing, simhash, substring_dedup, token_files, topk
 from .common import scratch_path
 from .exact_dedup import exact_dedup
 
@@ -55,13 +55,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"), k=20)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op4_token_files, op5_exact_topk, op6_chat_format, op7_packing, op8_simhash, op10_exact_dedup)}
+    return {f.__name__: f for f in (op3_byte_bpe, op4_token_files, op5_exact_topk, op6_chat_format, op7_packing, op8_simhash, op9_substring_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -87,6 +91,22 @@ def oracle_sql() -> dict[str, str]:
                    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
                    sum(8 + length({escaped.format("replace(role, chr(10), '!!')")}) + length({escaped.format("text")}))::BIGINT AS formatted_chars
             FROM t GROUP BY conv_id""",
+        "op9_substring_dedup": r"""
+            WITH d AS (
+                SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+            w AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS pos FROM d),
+            g AS (SELECT doc_id, pos, array_to_string(words[pos : pos + 19], ' ') AS gram FROM w),
+            r AS (
+                SELECT doc_id, pos FROM (
+                    SELECT doc_id, pos, row_number() OVER (PARTITION BY gram ORDER BY doc_id, pos) AS nth FROM g) WHERE nth > 1),
+            gone AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS at FROM r),
+            a AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS at FROM d),
+            k AS (
+                SELECT a.doc_id, count(*) FILTER (gone.at IS NOT NULL) AS n_removed,
+                       string_agg(word, ' ' ORDER BY a.at) FILTER (gone.at IS NULL) AS kept
+                FROM a LEFT JOIN gone ON a.doc_id = gone.doc_id AND a.at = gone.at GROUP BY a.doc_id)
+            SELECT d.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+            FROM d LEFT JOIN k ON d.doc_id = k.doc_id""",
         "op10_exact_dedup": """
             WITH t AS (
                 SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
