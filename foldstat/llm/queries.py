@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, chat, packing, simhash, substring_dedup, token_files, topk
-from .common import scratch_path
+from . import byte_bpe, chat, packing, simhash, substring_dedup, token_files, topk, toxicity, warc
+from .common import scratch_path, stored
 from .exact_dedup import exact_dedup
 
 #: The tokenizer files of the contracts; the operators take any path.
@@ -23,6 +23,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), usable=~held_out)
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.col("toxic_flag").alias("rejected"))
+
+
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits the archive of all pages against a replica with planted faults: by page_id, the first byte of some pages is overwritten and some records are gone."""
+    p = _table(spark, sf_dir, "pages")
+    broken = F.when((p["page_id"] % 97 == 3) & (F.length(p["html"]) > 0), F.overlay(p["html"], F.lit("#"), 1, 1)).otherwise(p["html"])
+    own, other = warc.record_of(p["page_id"], p["url"], p["html"]), warc.record_of(p["page_id"], p["url"], broken)
+    sha = lambda x: F.unhex(F.sha2(x, 256))
+    table = p.select("page_id", F.octet_length(own).cast("long").alias("length"), sha(own).alias("digest"), sha(other).alias("other"), F.coalesce(p["page_id"] % 389 == 5, F.lit(False)).alias("lost"))
+    archive = stored(warc.placed(table).withColumn("unit", F.lit("archive")), "archive")
+    found = warc.audit(
+        archive.select("unit", "offset", "length", "digest"), archive.filter("not lost").select("unit", "offset", "length", F.col("other").alias("digest"))
+    ).select(F.col("offset").alias("at"), "status")
+    out = archive.join(found, archive["offset"] == found["at"], "left")
+    return out.select("page_id", "offset", "length", F.lower(F.hex("digest")).alias("record_sha256"), F.coalesce("status", F.lit("ok")).alias("status"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = byte_bpe.encode(_table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -65,16 +88,29 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_byte_bpe, op4_token_files, op5_exact_topk, op6_chat_format, op7_packing, op8_simhash, op9_substring_dedup, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc_fixity, op3_byte_bpe, op4_token_files, op5_exact_topk, op6_chat_format, op7_packing, op8_simhash, op9_substring_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
     escaped = r"""replace(replace(replace(replace(replace({0}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"""
     return {
+        "op2_warc_fixity": """
+            WITH r AS (
+                SELECT page_id, coalesce(html, '') AS html, chr(13) || chr(10) AS nl,
+                       'WARC/1.1' || nl || 'WARC-Type: response' || nl || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || nl
+                       || 'WARC-Target-URI: ' || coalesce(url, '') || nl || 'Content-Type: text/html' || nl
+                       || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || nl || nl || coalesce(html, '') || nl || nl AS record
+                FROM pages),
+            t AS (SELECT page_id, html, octet_length(encode(record)) AS length, sha256(record) AS record_sha256 FROM r)
+            SELECT page_id,
+                   (sum(length) OVER (ORDER BY page_id NULLS FIRST, record_sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length)::BIGINT AS "offset",
+                   length::BIGINT AS length, record_sha256,
+                   CASE WHEN page_id % 389 = 5 THEN 'missing' WHEN page_id % 97 = 3 AND html <> '' AND left(html, 1) <> '#' THEN 'corrupt' ELSE 'ok' END AS status
+            FROM t""",
         "op5_exact_topk": """
             WITH v AS (
-                SELECT DISTINCT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS e FROM embeddings
-                WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+                SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+                WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
             s AS (
                 SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
                 FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
