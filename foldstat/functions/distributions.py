@@ -50,7 +50,8 @@ def beta_inc(a: float, b: float, x: float, y: float | None = None) -> float:
         return 0.0
     if y <= 0:
         return 1.0
-    front = math.exp(a * math.log(x) + b * math.log(y) - log_beta(a, b))
+    log_x, log_y = math.log1p(-y) if y < 0.5 else math.log(x), math.log1p(-x) if x < 0.5 else math.log(y)
+    front = math.exp(a * log_x + b * log_y - log_beta(a, b))
     if x < (a + 1) / (a + b + 2):
         return front * _beta_fraction(a, b, x) / a
     return 1 - front * _beta_fraction(b, a, y) / b
@@ -101,6 +102,8 @@ def t_sf2(t: float, df: float) -> float:
     if math.isinf(t):
         return 0.0
     s = t * t
+    if df > 1e7 and s < 1e4:  # the continued fraction cancels there; Fisher's expansion to the normal is exact to its last digits
+        return norm_sf2(t * (1 - (s + 1) / (4 * df) + (13 * s * s + 8 * s + 3) / (96 * df * df)))
     return beta_inc(df / 2, 0.5, df / (df + s), s / (df + s))
 
 
@@ -133,6 +136,8 @@ def f_sf(f: float, d1: float, d2: float) -> float:
         return math.nan
     if f <= 0:
         return 1.0
+    if d1 == 1:
+        return t_sf2(math.sqrt(f), d2)
     return beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * f), d1 * f / (d2 + d1 * f))
 
 

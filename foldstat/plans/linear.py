@@ -44,7 +44,7 @@ class Table:
         self.names, self._rows = names, rows
 
     def rows(self) -> list[dict]:
-        return [dict(zip(self.names, r, strict=True)) for r in self._rows]
+        return [{n: x if isinstance(x, str) else float(x) for n, x in zip(self.names, r, strict=True)} for r in self._rows]
 
     def to_df(self, spark) -> DataFrame:
         kinds = ", ".join(f"{n} {'string' if n == 'param' else 'double'}" for n in self.names)
