@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,7 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/foldstat/{uuid.uuid4().hex}/{name}"
+    """A new place in the shared folder. Results may read it as long as the driver lives; on a file system it goes with the driver."""
+    top = f"{shared_dir(spark)}/foldstat/{uuid.uuid4().hex}"
+    local = local_or_none(top)
+    if local is not None:
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+    return f"{top}/{name}"
 
 
 def stored(df: DataFrame, name: str = "t") -> DataFrame:

@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import dropped, narrowed, small_batches, stored
 from .components import components
@@ -232,6 +233,23 @@ def near_dedup(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str =
 
 
 def deduplicated(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which one of each component stays: that with the smallest doc_id. (Rows without a doc_id stay where their whole component has none.)"""
-    kept = near_dedup(docs, radius, shingle, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi").select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs`` of which one of each component stays: that with the smallest doc_id.
+
+    Rows without a doc_id stay where their whole component has none. Where doc_ids repeat, rows
+    are told apart by their fingerprints, and of equal ones a single row stays.
+    """
+    made = stored(near_dedup(docs, radius, shingle, id_col, text_col), "marked")
+    kept = made.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id"), F.col("fp").alias("__kept_fp"))
+    if not made.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi").select(*[docs[c] for c in docs.columns])
+    at = docs.columns.index(text_col)
+
+    def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches):
+            out = np.array([fingerprint((t or "").encode("utf-8", "surrogatepass"), shingle) for t in b.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out.view(np.int64))], names=[*b.schema.names, "__fp"])
+
+    rows = docs.mapInArrow(tagged, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    out = rows.join(kept, rows[id_col].eqNullSafe(kept["__kept_id"]) & (rows["__fp"] == kept["__kept_fp"]), "left_semi")
+    numbered = out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, "__fp"]).unionByName(out.filter(F.col(id_col).isNull()))
+    return numbered.select(*docs.columns)
