@@ -6,6 +6,8 @@ from .plans.binary import Logit, LogitResults, Probit, ProbitResults
 from .plans.iv import IV, IvResults
 from .plans.linear import OLS, WLS, OlsResults, WlsResults
 
+__version__ = "0.1.0"
+
 __all__ = [
     "IV", "OLS", "WLS", "ComputationError", "IvOptions", "IvResults", "Logit", "LogitOptions", "LogitResults", "OLSOptions", "OlsResults",
     "Probit", "ProbitOptions", "ProbitResults", "ValidationError", "WlsResults",
