@@ -180,6 +180,7 @@ def _two_stage(p: _Problem, out: IvResults, first: list[Fit], level: float) -> N
     out.r_squared_adj = 1 - (n - p.const) / (n - structural.k) * (1 - out.r_squared)
     out.f_statistic, out.f_p_value = f_test(hat.b[p.const :], v[p.const :, p.const :], dof)
     out.converged, out.n_iterations = True, 1
+    out.df_resid, out.df_model = n - structural.k, structural.k - p.const
     if tested:
         q = len(first)
         try:
@@ -273,6 +274,7 @@ def _gmm(p: _Problem, out: IvResults, first: list[Fit], level: float) -> None:
     out.f_statistic = wald(b[p.const :], v[p.const :, p.const :]) if q else math.nan  # chi-square, not divided by q
     out.f_p_value = chi2_sf(out.f_statistic, q) if q else math.nan
     out.converged, out.n_iterations = converged, steps
+    out.df_resid, out.df_model = n - k, k - p.const
 
 
 class IV:

@@ -95,6 +95,7 @@ def test_two_stage(frame, kind, shape):
         ssr = rest[:, j] @ rest[:, j]
         assert r.weak_instrument_f_statistics[name] == pytest.approx((small @ small - ssr) / nz / (ssr / (n - z.shape[1])), rel=1e-8)
     assert r.diagnostics().count() == endog + 2
+    assert (r.df_resid, r.df_model) == (n - k, k - 1)
 
 
 def gmm(d, y, x, z, weights, steps):
