@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches, ending
+
 # Control strings (fixed values): the template's own, and instruction marks that models know as such.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]")
 _CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
@@ -100,7 +102,7 @@ def _tokenizer(path: str):
 def conversations_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[tuple[str, str]]]]:
     """Runs of rows (conv_id, role, text) of one conversation from sorted batches."""
     held, turns, any_row = None, [], False
-    for b in batches:
+    for b in ending(batches):
         for conv, role, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if any_row and conv != held:
                 yield held, turns
@@ -114,6 +116,7 @@ def conversations_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object
 def format_chats(conversations: DataFrame, tokenizer_path: str, loss_role: str = "assistant") -> DataFrame:
     """A row per conversation: conv_id, formatted, ids, loss_mask (by token), loss_starts and loss_ends (characters under the mask)."""
     c = conversations
+    bound_batches(c.sparkSession)
     empty = lambda x: F.coalesce(c[x].cast("string"), F.lit("")).alias(x)
     rows = c.select(c["conv_id"].alias("conv_id"), c["turn"].alias("turn"), empty("role"), empty("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
@@ -150,7 +153,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of what the output holds: turns parsed from the text, and the text under the loss mask, unescaped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in ending(batches):
             out = []
             for conv, text, starts, ends in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 turns = parse(text)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -26,6 +27,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of a batch that Spark hands to a Python worker, where the session has not chosen any bound of its own.
+BATCH_BYTES = 8 << 20
+_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound batches by bytes: by rows alone, ten thousand long texts would be one batch."""
+    if spark.conf.get(_SETTING) == "67108864b":  # the default
+        spark.conf.set(_SETTING, str(BATCH_BYTES))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new place in the shared folder. Results may read it as long as the driver lives; on a file system it goes with the driver."""
     top = f"{shared_dir(spark)}/foldstat/{uuid.uuid4().hex}"
@@ -38,6 +50,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str = "t") -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors, never recomputes."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -102,6 +115,7 @@ def mapped(uri: str, dtype) -> np.ndarray:
 
 def narrowed(docs: DataFrame, id_col: str, text_col: str, null_text: str | None = "") -> DataFrame:
     """Only (doc_id, text) under fixed names, so that further columns, whatever their names, never meet ours. null_text None keeps nulls."""
+    bound_batches(docs.sparkSession)
     text: Column = docs[text_col].cast("string")
     return docs.select(docs[id_col].alias("doc_id"), (F.coalesce(text, F.lit(null_text)) if null_text is not None else text).alias("text"))
 
@@ -118,6 +132,24 @@ def small_batches(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Ite
             part = b.slice(at, step)
             at += part.num_rows
             yield part
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a partition: a worker that waits for its next task should hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def text_bytes(column: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 bytes of each text; a null is empty."""
+    raw, offsets = text_buffer(column)
+    at = offsets.tolist()
+    for s, e in zip(at[:-1], at[1:], strict=True):
+        yield raw[s:e].tobytes()
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -174,17 +206,27 @@ def powers(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n (base is odd, so it has an inverse)."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = 1 << max(12, (n - 1).bit_length())
+        size = -(-n // 65536) * 65536
         up, down = np.ones(size, np.uint64), np.ones(size, np.uint64)
         up[1:], down[1:] = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
-        have = _POWERS[base] = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        have = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        if size <= 4 << 20:  # tables for a single huge text are not kept
+            _POWERS[base] = have
     return have[0][:n], have[1][:n]
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+class SpanHasher:
     """64-bit hashes of values[start:end] for many spans at once, from one prefix sum."""
-    base = (_BASE + 2 * (seed * 0x632BE59BD9B4E019)) % (1 << 64) | 1
-    up, down = powers(len(values) + 1, base)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+    def __init__(self, values: np.ndarray, seed: int = 0):
+        up, self.down = powers(len(values) + 1, (_BASE + 2 * (seed * 0x632BE59BD9B4E019)) % (1 << 64) | 1)
+        self.total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mixed((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+
+
+def ending(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from batches
+    give_back()

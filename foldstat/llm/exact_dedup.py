@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import dropped, narrowed, stored
+from .common import narrowed, small_batches, stored, text_bytes
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 FAN_IN = 32
@@ -34,8 +34,8 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kept = narrowed(docs, id_col, text_col)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [hashlib.sha256((t or "").encode("utf-8", "surrogatepass").translate(_LOWER)).digest() for t in b.column(1).to_pylist()]
+        for b in small_batches(batches):
+            out = [hashlib.sha256(t.translate(_LOWER)).digest() for t in text_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["doc_id", "digest"])
 
     kind = kept.schema["doc_id"].dataType.simpleString()
@@ -108,8 +108,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = order.index(text_col)
-        for b in batches:
-            out = [hashlib.sha256((t or "").encode("utf-8", "surrogatepass").translate(_LOWER)).digest() for t in b.column(at).to_pylist()]
+        for b in small_batches(batches):
+            out = [hashlib.sha256(t.translate(_LOWER)).digest() for t in text_bytes(b.column(at).cast(pa.large_string()))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*order, mark])
 
     rows = docs.mapInArrow(tagged, StructType([*docs.schema.fields, StructField(mark, BinaryType())]))
@@ -119,5 +119,3 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = out.dropDuplicates([id_col, mark])
     return out.select(*[out[c] for c in order])
 
-
-__all__ = ["deduplicated", "digests", "dropped", "exact_dedup", "frequent", "summarise"]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import dropped, narrowed, small_batches, stored
+from .common import dropped, ending, narrowed, small_batches, stored, text_bytes
 from .components import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            out = np.array([fingerprint(t.encode("utf-8", "surrogatepass"), shingle) for t in b.column(1).to_pylist()], np.uint64)
+            out = np.array([fingerprint(t, shingle) for t in text_bytes(b.column(1))], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
@@ -205,7 +205,7 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(fp[some]), pa.array(fp[labels[some]])], names=["u", "v"])
 
         held = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
-        for b in batches:
+        for b in ending(batches):
             fresh = [np.asarray(b.column(i)) for i in (1, 2, 0)]
             held = [np.concatenate(x) for x in zip(held, fresh, strict=True)]
             if len(held[0]) < 4 * CHUNK:
@@ -246,7 +246,7 @@ def deduplicated(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            out = np.array([fingerprint((t or "").encode("utf-8", "surrogatepass"), shingle) for t in b.column(at).to_pylist()], np.uint64)
+            out = np.array([fingerprint(t, shingle) for t in text_bytes(b.column(at).cast(pa.large_string()))], np.uint64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out.view(np.int64))], names=[*b.schema.names, "__fp"])
 
     rows = docs.mapInArrow(tagged, StructType([*docs.schema.fields, StructField("__fp", LongType())]))

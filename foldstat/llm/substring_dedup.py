@@ -43,10 +43,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import dropped, small_batches, span_hashes, stored, text_buffer, word_spans
+from .common import SpanHasher, bound_batches, dropped, ending, small_batches, stored, text_buffer, word_spans
 
 #: Bytes of the documents of a block.
-BLOCK = 3 << 20
+BLOCK = 2 << 20
 NO_ID = -(1 << 63)
 
 
@@ -89,7 +89,9 @@ class _Words:
         self.doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
         at = np.arange(self.n)
         self.whole = at + k <= self.last
-        self.hashes = span_hashes(self.raw, self.starts, self.ends, seed)
+        # The hash of a window is one of its words' hashes; a second one, independent of the first, makes 96 bits.
+        self.hashes = SpanHasher(self.raw, seed)(self.starts, self.ends)
+        self.grams = SpanHasher(self.hashes, seed + 1)
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """(the anchor of each window, 0 where there is none; the values of all anchored places, one for each place)."""
@@ -97,7 +99,7 @@ class _Words:
         at = np.arange(self.n)
         some = at + g <= self.last
         grams = np.full(self.n, np.uint64(0xFFFFFFFFFFFFFFFF))
-        grams[some] = span_hashes(self.hashes, at[some], at[some] + g, self.seed + 1) | np.uint64(1)
+        grams[some] = self.grams(at[some], at[some] + g) | np.uint64(1)
         least = _sliding(grams, self.k - g + 1, np.minimum, np.uint64(0xFFFFFFFFFFFFFFFF))
         least[~self.whole] = 0
         # A place is anchored if it is the smallest of any window over it: its value is then the greatest of those least ones.
@@ -105,9 +107,8 @@ class _Words:
         return least, grams[(greatest == grams) & some & (greatest > 0)]
 
     def edges(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = span_hashes(self.hashes, at, at + self.k, self.seed + 2)
-        second = span_hashes(self.hashes, at, at + self.k, self.seed + 3)
-        return first, (second >> np.uint64(32)).astype(np.uint32)
+        second = SpanHasher(self.hashes, self.seed + 2)(at, at + self.k)
+        return self.grams(at, at + self.k), (second >> np.uint64(32)).astype(np.uint32)
 
     def joined(self) -> tuple[memoryview, list[int], list[int]]:
         """All words joined by one space, and where each starts and ends in that."""
@@ -153,6 +154,7 @@ def blocks_of(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(pack, "block long, payload binary")
 
 
@@ -166,7 +168,7 @@ def repeated_anchors(blocks: DataFrame, text_col: str, k: int, seed: int, bucket
     """(block, anchors): of each block's anchors those that occur more than once in the corpus."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in ending(batches):
             for block, payload in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 _, places = _Words(_opened(payload.as_buffer()).column(text_col), k, seed).anchors()
                 values, counts = np.unique(places, return_counts=True)
@@ -195,7 +197,7 @@ def repeated_anchors(blocks: DataFrame, text_col: str, k: int, seed: int, bucket
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """The rows of one bucket at a time, from batches sorted by it."""
     held: list[tuple] = []
-    for b in batches:
+    for b in ending(batches):
         for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if held and held[0][0] != row[0]:
                 yield held
@@ -212,7 +214,7 @@ def sources(blocks: DataFrame, anchors: DataFrame, id_col: str, text_col: str, k
     shape = "bucket int, block long, one binary, two binary, doc binary, start binary, word binary"
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in ending(batches):
             for block, payload, known in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 rows = _opened(payload.as_buffer())
                 w = _Words(rows.column(text_col), k, seed)
@@ -301,7 +303,7 @@ def _removal(blocks: DataFrame, runs: DataFrame, schema: StructType, text_col: s
     names = [f.name for f in schema]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in ending(batches):
             for block, payload, runs_, asked_ in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 rows = _opened(payload.as_buffer())
                 w = _Words(rows.column(text_col), k, seed)
