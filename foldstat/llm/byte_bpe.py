@@ -8,8 +8,9 @@ after an edit only the prefixes near it are worked out again, up to the place wh
 as many stored tokens as the longest token has bytes agree. Reading the ids back from
 the end is a walk over the table.
 
-``encode`` cuts texts by the given pattern, encodes each distinct piece once by such a
-table, and remembers it in a bounded memo that changes speed only.
+``encode`` cuts texts by the given pattern. Short pieces share one table, keyed by the
+prefixes themselves, so that a piece costs only the prefixes no other piece has had.
+Tables and memos are bounded; their bounds change speed only.
 
 Defined results: a null text counts as empty, an empty text has no ids. Special tokens
 do not exist here: their strings are ordinary text.
@@ -26,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import narrowed, small_batches
-from .ragged import Memo, Ragged
+from .ragged import Lists, Memo, Ragged
 
-#: Chunks, pieces and token pairs remembered at most.
-MEMO = 400_000
+#: Chunks of a generation, prefixes and token pairs remembered at most.
+MEMO = 250_000
+#: Bytes of a piece whose prefixes go to the shared table.
+SHORT = 48
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,6 +49,7 @@ class Vocabulary:
         self._lengths_upto = [[n for n in self.lengths if n <= i] for i in range(self.longest + 1)]
         self.pairs = Memo(lambda p: self.merged(self.bytes_of[p[0]] + self.bytes_of[p[1]]) == [p[0], p[1]])
         self.alone = Memo(lambda i: self.merged(self.bytes_of[i]) == [i])
+        self.table: dict[bytes, int] = {}  # every prefix of a prefix in it is in it
 
     def merged(self, data: bytes) -> list[int]:
         """The plain definition: merge the neighbours of lowest rank, leftmost first, until none is a token. For short strings."""
@@ -61,6 +65,34 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[p] for p in parts]
 
+    def encoded(self, data: bytes) -> list[int]:
+        """The ids of a short piece, by the table that all of them share."""
+        table, ranks, pairs = self.table, self.ranks, self.pairs
+        known = len(data)
+        while known and data[:known] not in table:
+            known -= 1
+        for end in range(known + 1, len(data) + 1):
+            head = data[:end]
+            for n in self._lengths_upto[min(end, self.longest)]:
+                token = ranks.get(head[end - n :])
+                if token is not None and (pairs[table[head[: end - n]], token] if n < end else self.alone[token]):
+                    table[head] = token
+                    break
+            else:
+                raise ValueError(f"byte {data[end - 1]} is no token")
+        out, end = [], len(data)
+        while end:
+            token = table[data[:end]]
+            out.append(token)
+            end -= len(self.bytes_of[token])
+        return out[::-1]
+
+    def bound(self) -> None:
+        if len(self.table) > 4 * MEMO:
+            self.table.clear()
+        if len(self.pairs) > 4 * MEMO:
+            self.pairs.clear()
+
     def lengths_upto(self, n: int) -> list[int]:
         return self._lengths_upto[min(n, self.longest)]
 
@@ -86,8 +118,7 @@ class PrefixTable:
         raise ValueError(f"byte {data[end - 1]} is no token")
 
     def append(self, more: bytes) -> None:
-        if len(self.vocabulary.pairs) > 4 * MEMO:
-            self.vocabulary.pairs.clear()
+        self.vocabulary.bound()
         self.data += more
         for end in range(len(self.last) + 1, len(self.data) + 1):
             self.last.append(self._token_at(self.data, end))
@@ -133,44 +164,53 @@ class ByteEncoder:
         self.token_bytes = Ragged("B")
         for i in range(size):
             self.token_bytes.add(self.vocabulary.bytes_of.get(i, b""))
-        self.forget()
-
-    def forget(self) -> None:
-        self.store = Ragged("I")
         self.pieces = Memo(self._piece)
-        self.first = Memo(lambda chunk: self._chunk(chunk))
-        self.inner = Memo(lambda chunk: self._chunk(" " + chunk))
+        self.chunks = Lists("I", self._chunk, MEMO)  # a chunk stands for itself after a space
 
     def _piece(self, piece: str) -> list[int]:
         data = piece.encode("utf-8", "surrogatepass")
         token = self.vocabulary.ranks.get(data)
-        return [token] if token is not None else PrefixTable(self.vocabulary, data).ids()
+        if token is not None:
+            return [token]
+        return self.vocabulary.encoded(data) if len(data) <= SHORT else PrefixTable(self.vocabulary, data).ids()
 
-    def _chunk(self, chunk: str) -> int:
+    def _pieces(self, text: str) -> list[int]:
         ids: list[int] = []
-        for piece in self.pattern.findall(chunk):
+        for piece in self.pattern.findall(text):
             ids.extend(self.pieces[piece])
-        return self.store.add(ids)
+        return ids
+
+    def _chunk(self, chunk: str) -> list[int]:
+        return self._pieces(" " + chunk)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn as uint32, offsets of the texts among them)."""
-        if max(len(self.first), len(self.inner), len(self.pieces)) > MEMO:
-            self.forget()
-        index: list[int] = []
-        bounds = np.zeros(len(texts) + 1, np.int64)
-        for i, text in enumerate(texts):
-            if text:
-                if not self.leading:
-                    chunks = [text]
-                elif self._UNEVEN.search(text):
-                    chunks = self._CUT.split(text)
-                else:
-                    chunks = text.split(" ")
-                index.append(self.first[chunks[0]])
-                index += map(self.inner.__getitem__, chunks[1:])
-            bounds[i + 1] = len(index)
-        ids, ends = self.store.gather(np.array(index, np.int64))
-        return ids, ends[bounds]
+        self.chunks.turn()
+        self.vocabulary.bound()
+        if len(self.pieces) > MEMO:
+            self.pieces.clear()
+        heads, parts, bounds, words = [], [], [0], []
+        for text in texts:
+            if not text:
+                chunks = [""]
+            elif not self.leading:
+                chunks = [text]
+            elif self._UNEVEN.search(text):
+                chunks = self._CUT.split(text)
+            else:
+                chunks = text.split(" ")
+            heads.append(self._pieces(chunks[0]))  # the first has no space before it
+            words += chunks[1:]
+            bounds.append(len(words))
+        index = np.fromiter(map(self.chunks.index.__getitem__, words), np.int64, len(words))
+        ids, ends = self.chunks.store.gather(index)
+        at = ends[np.array(bounds)]
+        sizes = np.array([len(h) for h in heads], np.int64)
+        offsets = at + np.r_[0, np.cumsum(sizes)]
+        for head, lo, hi in zip(heads, at[:-1].tolist(), at[1:].tolist(), strict=True):
+            parts.append(np.array(head, np.uint32))
+            parts.append(ids[lo:hi])
+        return np.concatenate(parts) if parts else ids, offsets
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all texts in turn, offsets of the texts among them)."""

@@ -28,6 +28,9 @@ class Ragged:
         self.flat.extend(values)
         return len(self.starts) - 1
 
+    def values(self, i: int):
+        return self.flat[self.starts[i] : self.starts[i] + self.lengths[i]]
+
     def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(the lists of these numbers, one after the other, their ends with a leading 0)."""
         lengths = np.frombuffer(self.lengths, np.int64)[index] if len(index) else np.zeros(0, np.int64)
@@ -38,3 +41,22 @@ class Ragged:
         at = np.repeat(np.frombuffer(self.starts, np.int64)[index] - ends[:-1], lengths)
         at += np.arange(int(ends[-1]))
         return np.frombuffer(self.flat, self.dtype)[at], ends
+
+
+class Lists:
+    """A memo of lists by key, in two generations: the older one goes when the newer is full, but what was asked for since stays."""
+
+    def __init__(self, code: str, make, most: int):
+        self.code, self.make, self.most = code, make, most
+        self.index, self.store = Memo(self._made), Ragged(code)
+        self.old_index, self.old_store = {}, self.store
+
+    def _made(self, key) -> int:
+        i = self.old_index.get(key)
+        return self.store.add(self.make(key) if i is None else self.old_store.values(i))
+
+    def turn(self) -> None:
+        """Between batches only: numbers given before are void after it."""
+        if len(self.index) > self.most:
+            self.old_index, self.old_store = dict(self.index), self.store
+            self.index, self.store = Memo(self._made), Ragged(self.code)

@@ -3,8 +3,7 @@
 A BPE file of this kind splits a text at white space before any merge, so the ids
 of a text are the ids of its space-separated chunks in turn. Each distinct chunk
 is encoded once by the library and remembered; a text then costs dictionary
-look-ups and one ragged gather. The memory is bounded: it is emptied when full,
-which changes speed only.
+look-ups and one ragged gather. The memory is bounded, which changes speed only.
 """
 
 from __future__ import annotations
@@ -13,10 +12,10 @@ import json
 
 import numpy as np
 
-from .ragged import Memo, Ragged
+from .ragged import Lists, Memo
 
-#: Chunks remembered at most, and pieces of chunks.
-MEMO = 400_000
+#: Chunks of a generation remembered at most, and pieces of chunks.
+MEMO = 250_000
 
 
 class WordEncoder:
@@ -41,17 +40,13 @@ class WordEncoder:
             raise ValueError("this file does not split texts at white space")
         self.split = regex.compile(splits[0]["pattern"]["Regex"]) if plain else None
         self.latin = regex.compile("[\x21-\x7e\xa1-ɏ]*")  # composed, and no white space: NFC and the space rule leave these alone
-        self.forget()
-
-    def forget(self) -> None:
-        self.store = Ragged("I")
-        self.chunks, self.pieces = Memo(self._chunk), Memo(self._piece)
+        self.chunks, self.pieces = Lists("I", self._chunk, MEMO), Memo(self._piece)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         text = piece if piece.isascii() else "".join(x for x, _ in self.bytes_as_chars.pre_tokenize_str(piece))
         return tuple([t.id for t in self.model.tokenize(text)])
 
-    def _chunk(self, chunk: str) -> int:
+    def _chunk(self, chunk: str) -> list[int]:
         if self.split is not None and self.latin.fullmatch(chunk):
             lower = chunk.lower() if chunk.isascii() else "".join([c.lower() for c in chunk])
             body = lower.rstrip(".,;:!?")
@@ -65,20 +60,21 @@ class WordEncoder:
                     ids.extend(self.pieces[piece])
         else:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        return self.store.add(ids)
+        return ids
 
     def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn as uint32, offsets of the texts among them); ``end`` is appended to each."""
-        if len(self.chunks) > MEMO or len(self.pieces) > MEMO:
-            self.forget()
+        self.chunks.turn()
+        if len(self.pieces) > 2 * MEMO:
+            self.pieces.clear()
         words: list[str] = []
         bounds = np.zeros(len(texts) + 1, np.int64)
         for i, text in enumerate(texts):
             if text:
                 words += text.replace("\n", " ").split(" ")
             bounds[i + 1] = len(words)
-        index = np.fromiter(map(self.chunks.__getitem__, words), np.int64, len(words))
-        ids, ends = self.store.gather(index)
+        index = np.fromiter(map(self.chunks.index.__getitem__, words), np.int64, len(words))
+        ids, ends = self.chunks.store.gather(index)
         offsets = ends[bounds]
         if end is None:
             return ids, offsets
