@@ -25,20 +25,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return led.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(led.select("u", F.col("m").alias("v")))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: each child has one parent, and no parent is a child."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("child")), F.struct(F.col("v").alias("node"), F.lit(0).alias("child")))).alias("x"))
+    nodes = ends.select("x.*").groupBy("node").agg(F.sum("child").alias("parents"), F.min("child").alias("leads"))
+    return not nodes.filter("parents > 1 or (parents = 1 and leads = 0)").limit(1).count()
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of the edges (u, v): the component is its least node."""
-    now = stored(edges.select("u", "v").filter("u <> v").distinct(), "edges")
-    mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    now = stored(down.filter("u <> v").distinct(), "edges")
     for _ in range(most_rounds):
-        if not mark[0]:
+        if _settled(now):
             break
-        fresh = stored(_small_star(_large_star(now).filter("u <> v").distinct()).filter("u <> v").distinct(), "edges")
-        was, mark = mark, fresh.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # What the steps repeat is dropped once, where the round's edges are written.
+        fresh = stored(_small_star(_large_star(now)).filter("u <> v").distinct(), "edges")
         dropped(now)
         now = fresh
-        if was == mark:
-            break
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component"))
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.distinct())
