@@ -74,7 +74,7 @@ def test_gradient_of_the_network():
     first = np.array([0, 20, 40, 60])
     y = np.array([1, 0, 1], np.float32)
     loss = lambda m: float(np.mean([-np.log(p if t else 1 - p) for p, t in zip(m.scores(rows, first), y, strict=True)]))
-    few, many = (toxicity.train(rows, first, y, toxicity.Settings(steps=n, batch=3, seed=1)) for n in (1, 40))
+    few, many = (toxicity.train(rows, first, y, toxicity.Settings(steps=n, batch=3, seed=1, support=1)) for n in (1, 40))
     assert loss(many) < loss(few) / 3
 
 
