@@ -25,7 +25,7 @@ and is the component's id only where no row has one. Repeated rows share their r
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -239,6 +239,11 @@ def deduplicated(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str
     are told apart by their fingerprints, and of equal ones a single row stays.
     """
     made = stored(near_dedup(docs, radius, shingle, id_col, text_col), "marked")
+    return only_least(docs, made, lambda texts: np.array([fingerprint(t, shingle) for t in text_bytes(texts)], np.uint64), id_col, text_col)
+
+
+def only_least(docs: DataFrame, made: DataFrame, prints: Callable[[pa.Array], np.ndarray], id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that are the least of their component in ``made`` (doc_id, fp, component_id); ``prints`` gives the fp of texts."""
     kept = made.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id"), F.col("fp").alias("__kept_fp"))
     if not made.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi").select(*[docs[c] for c in docs.columns])
@@ -246,7 +251,7 @@ def deduplicated(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            out = np.array([fingerprint(t, shingle) for t in text_bytes(b.column(at).cast(pa.large_string()))], np.uint64)
+            out = prints(b.column(at).cast(pa.large_string()))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out.view(np.int64))], names=[*b.schema.names, "__fp"])
 
     rows = docs.mapInArrow(tagged, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
