@@ -162,10 +162,9 @@ class ByteEncoder:
         self.leading = " ?" in pattern
         size = max(ranks.values()) + 1
         self.token_bytes = Ragged("B")
-        for i in range(size):
-            self.token_bytes.add(self.vocabulary.bytes_of.get(i, b""))
+        self.token_bytes.extend([self.vocabulary.bytes_of.get(i, b"") for i in range(size)])
         self.pieces = Memo(self._piece)
-        self.chunks = Lists("I", self._chunk, MEMO)  # a chunk stands for itself after a space
+        self.chunks = Lists("I", lambda chunks: [self._pieces(" " + c) for c in chunks], MEMO)  # a chunk stands for itself after a space
 
     def _piece(self, piece: str) -> list[int]:
         data = piece.encode("utf-8", "surrogatepass")
@@ -180,9 +179,6 @@ class ByteEncoder:
             ids.extend(self.pieces[piece])
         return ids
 
-    def _chunk(self, chunk: str) -> list[int]:
-        return self._pieces(" " + chunk)
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn as uint32, offsets of the texts among them)."""
         self.chunks.turn()
@@ -202,8 +198,7 @@ class ByteEncoder:
             heads.append(self._pieces(chunks[0]))  # the first has no space before it
             words += chunks[1:]
             bounds.append(len(words))
-        index = np.fromiter(map(self.chunks.index.__getitem__, words), np.int64, len(words))
-        ids, ends = self.chunks.store.gather(index)
+        ids, ends = self.chunks.gather(words)
         at = ends[np.array(bounds)]
         sizes = np.array([len(h) for h in heads], np.int64)
         offsets = at + np.r_[0, np.cumsum(sizes)]

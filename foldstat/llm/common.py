@@ -166,15 +166,25 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+def binary_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``text_buffer`` of a binary column without nulls."""
+    column = column.cast(pa.large_binary())
+    _, off, data = column.buffers()
+    offsets = np.frombuffer(off, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+#: The six ASCII white spaces.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of every text: (starts, ends) in bytes and, for each text, the index of its first word (with the end)."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[raw]
+    solid = ~SPACE[raw]
     before = np.empty(len(raw), bool)
     before[0] = False
     before[1:] = solid[:-1]

@@ -10,8 +10,10 @@ number r to r+n of length L go to sequences s, s+1, ..., m to each, from place p
 It has under 70 intervals a length class of gaps, so it is small enough to ship to
 every task at any size of corpus.
 
-Pieces are numbered within their length by prefix sums of each task's counts; no
-piece is moved for it, and no length, however common, meets in one task.
+Pieces are numbered within their length by prefix sums of each task's counts. A join by
+(task, length) brings the sums to the pieces; it moves rows of a few numbers (and ids,
+where they are wanted), and a key of it has no more rows than one task made, so that
+no length, however common, meets in one task.
 
 Defined results: a null text counts as empty and gives one piece of the end id alone.
 Only documents longer than ``capacity`` ids are cut, every ``capacity`` ids. Rows of
@@ -115,7 +117,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, ids
         encoder, task = word_encoder(tokenizer_path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for b in small_batches(batches):
-            flat, offsets = encoder.encode(b.column(1).to_pylist(), end_id)
+            flat, offsets = encoder.encode(b.column(1), end_id)
             sizes = np.diff(offsets)
             each = -(-sizes // capacity)
             owner = np.repeat(np.arange(len(sizes)), each)

@@ -15,14 +15,12 @@ from foldstat.llm.word_encoder import WordEncoder
 from .conftest import SF
 
 WORDS = P.path("word_bpe_49k.json")
-ODD = ["", " ", "a", "İstanbul ΣΑΣ naïve café", "<|endoftext|> x", "can't DON'T 'sss \"'t x1y22", "tab\there\x1cfs em nb", "日本語 text 🎉🎉 !!??", "ǅ ﬁ Ⅷ ² ½", "a" * 5000, "...", "́́ x", "x\r\ny\x85z"]
+ODD = ["", " ", "a", "İstanbul ΣΑΣ naïve café", "<|endoftext|> x", "a <|endoftext|> b", "A<|startoftext|>B<|endoftext|>&&& <|ENDOFTEXT|> <|endoftext |>", "H̱ A\u030a \u0301a É Ÿ ÿ ß \u0130 \u1e9e", "Ab,Cd ab, AB; É. é! <x> a<b", "can't DON'T 'sss \"'t x1y22", "tab\there\x1cfs em nb", "日本語 text 🎉🎉 !!??", "ǅ ﬁ Ⅷ ² ½", "a" * 5000, "...", "́́ x", "x\r\ny\x85z"]
 
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORDS)
 
 
 def brute(library, text, end):

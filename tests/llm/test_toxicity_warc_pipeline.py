@@ -155,7 +155,6 @@ def test_pipeline_against_brute_force(spark):
     near = sorted(least.values(), key=lambda r: r[d])
     cut = {w[0]: w for w in brute_substrings([(r[d], words_of(r[t] or "")) for r in near], 20)}
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     want = []
     for r in near:
         text = cut[r[d]][4] if cut[r[d]][2] else r[t] or ""
