@@ -7,9 +7,12 @@ of each document within its part (uint64, one more than documents), and
 number of ids before it: the prefix sums of the parts' totals. Parts and documents
 within them are in ascending doc_id order.
 
+Documents are encoded where they are read; only their ids are shuffled into ranges.
+
 Defined results: a null text counts as empty and holds the end id alone. Rows of one
-doc_id stay apart, in the order of their texts. A null doc_id comes first and is stored
-as the smallest int64, which reads back as null. An empty table gives a manifest of
+doc_id stay apart, in the order of their texts' hashes. A null doc_id comes first and is
+stored as the smallest int64, which reads back as null, as that very doc_id would. Further
+columns of any name are ignored. A long text is encoded whole, in the memory of its ids. An empty table gives a manifest of
 empty parts. Each task streams its part to a file of its own attempt and renames it, so
 a lost executor costs a rewrite of the part and nothing else.
 """
@@ -28,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import local_or_none, mapped, narrowed, opened, put_file, small_batches
+from .common import binary_buffer, dropped, ending, local_or_none, mapped, narrowed, opened, put_file, small_batches, stored
 from .word_encoder import word_encoder
 
 NO_ID = -(1 << 63)
@@ -57,31 +60,42 @@ def write_token_files(
 ) -> dict:
     """Encode every document, write the files under ``uri`` (a folder that all executors share), return the manifest."""
     rows = narrowed(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    kind = {2: np.dtype("<u2"), 4: np.dtype("<u4")}[width]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = word_encoder(tokenizer_path)
+        for b in small_batches(batches):
+            ids, offsets = encoder.encode(b.column(1), end_id)
+            if len(ids) and int(ids.max()) >> (8 * width):
+                raise OverflowError(f"an id does not fit in {width} bytes")
+            data = pa.py_buffer(ids.astype(kind))
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(offsets * width), data]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), packed], names=["doc_id", "h", "ids"])
+
+    # Texts stay where they are read: what is stored once, sampled for the ranges and shuffled are ids.
+    encoded = stored(rows.mapInArrow(encode, "doc_id long, h long, ids binary"), "encoded")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # The text's hash splits even a doc_id that a third of the rows carry.
-    rows = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    kind = {2: np.dtype("<u2"), 4: np.dtype("<u4")}[width]
+    dealt = encoded.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids").select("doc_id", "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = TaskContext.get().partitionId()
         streams = {x: _Stream(f"{_part(uri, k)}.{x}") for x in ("bin", "idx", "doc")}
-        encoder = word_encoder(tokenizer_path)
         n_docs = n_ids = 0
-        for b in small_batches(batches):
-            ids, offsets = encoder.encode(b.column(1).to_pylist(), end_id)
-            if len(ids) and int(ids.max()) >> (8 * width):
-                raise OverflowError(f"an id does not fit in {width} bytes")
-            streams["bin"].file.write(ids.astype(kind).tobytes())
-            streams["idx"].file.write((offsets[:-1] + n_ids).astype("<u8").tobytes())
+        for b in ending(batches):
+            raw, at = binary_buffer(b.column(1))
+            streams["bin"].file.write(raw.tobytes())
+            streams["idx"].file.write((at[:-1] // width + n_ids).astype("<u8").tobytes())
             streams["doc"].file.write(np.asarray(b.column(0).fill_null(NO_ID), "<i8").tobytes())
             n_docs += b.num_rows
-            n_ids += len(ids)
+            n_ids += len(raw) // width
         streams["idx"].file.write(np.array([n_ids], "<u8").tobytes())
         for s in streams.values():
             s.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
 
-    totals = sorted((r.part, r.n_docs, r.n_ids) for r in rows.mapInArrow(write, "part long, n_docs long, n_ids long").collect())
+    totals = sorted((r.part, r.n_docs, r.n_ids) for r in dealt.mapInArrow(write, "part long, n_docs long, n_ids long").collect())
+    dropped(encoded)
     parts, base_docs, base_ids = [], 0, 0
     for k, n_docs, n_ids in totals:
         parts.append({"part": k, "docs": n_docs, "ids": n_ids, "first_doc": base_docs, "first_id": base_ids})
