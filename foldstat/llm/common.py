@@ -12,19 +12,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can reach, from ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder every executor and the driver can reach, from ``spark.checkpoint.dir``, with its scheme. Only a local
+    session, whose executors are the driver, may leave it unset and gets a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="foldstat-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="foldstat-")
+            atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
+        found = _OWN[app]
+    return qualified(spark, found)
+
+
+_OWN: dict[str, str] = {}
+
+
+def qualified(spark: SparkSession, uri: str) -> str:
+    """``uri`` with the scheme that Spark reads it by: a plain path belongs to the cluster's default file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(path).toString().rstrip("/")
 
 
 #: Bytes of a batch that Spark hands to a Python worker, where the session has not chosen any bound of its own.
@@ -58,10 +73,23 @@ def stored(df: DataFrame, name: str = "t") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` stored in buckets of ``key`` in the shared folder: joins by it shuffle the other side alone. Rows are moved once, here."""
+    spark = df.sparkSession
+    path, name = scratch_path(spark, "buckets"), f"foldstat_{uuid.uuid4().hex}"
+    n = max(1, min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))))
+    df.repartition(n, key).write.option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(name)
+    out = spark.table(name)
+    out._scratch, out._table = path, name
+    return out
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete scratch tables that no later result reads."""
     for df in frames:
         path = getattr(df, "_scratch", None)
+        if getattr(df, "_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS `{df._table}`")
         if path:
             delete_path(df.sparkSession, path)
 
@@ -73,10 +101,10 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def local_or_none(uri: str) -> str | None:
-    """The plain path of a file: URI or path (which can be memory-mapped), None for other stores."""
+    """The plain path of a file: URI or of a path without a scheme (which can be memory-mapped), None for other stores."""
     if uri.startswith("file:"):
         return "/" + uri[5:].lstrip("/")
-    return uri if uri.startswith("/") else None
+    return uri if "://" not in uri else None
 
 
 def opened(uri: str, mode: str):
@@ -86,22 +114,40 @@ def opened(uri: str, mode: str):
         if mode == "wb":
             os.makedirs(os.path.dirname(path), exist_ok=True)
         return open(path, mode)
-    fs, p = pa.fs.FileSystem.from_uri(uri)  # pragma: no cover - needs a remote store
+    fs, p = remote(uri)
+    if mode == "wb":
+        fs.create_dir(os.path.dirname(p), recursive=True)
     return fs.open_input_file(p) if mode == "rb" else fs.open_output_stream(p)
 
 
+def remote(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri)
+
+
+class FileStream:
+    """Appends to a file of this attempt, which gets its name when it is whole: a retried or speculative task never leaves a torn file."""
+
+    def __init__(self, uri: str):
+        self.uri, self.part = uri, f"{uri}.{uuid.uuid4().hex}"
+        self.file = opened(self.part, "wb")
+
+    def write(self, data) -> None:
+        self.file.write(data)
+
+    def close(self) -> None:
+        self.file.close()
+        path = local_or_none(self.uri)
+        if path is not None:
+            os.replace(local_or_none(self.part), path)
+        else:
+            fs, p = remote(self.uri)
+            fs.move(remote(self.part)[1], p)
+
+
 def put_file(uri: str, data) -> None:
-    """Write under a name of this attempt, then rename: a retried or speculative task never leaves a torn file."""
-    path = local_or_none(uri)
-    if path is None:  # pragma: no cover - object stores write whole objects
-        with opened(uri, "wb") as f:
-            f.write(data)
-        return
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    part = f"{path}.{uuid.uuid4().hex}"
-    with open(part, "wb") as f:
-        f.write(data)
-    os.replace(part, path)
+    stream = FileStream(uri)
+    stream.write(data)
+    stream.close()
 
 
 def mapped(uri: str, dtype) -> np.ndarray:
@@ -109,7 +155,7 @@ def mapped(uri: str, dtype) -> np.ndarray:
     path = local_or_none(uri)
     if path is not None:
         return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
-    with opened(uri, "rb") as f:  # pragma: no cover
+    with opened(uri, "rb") as f:
         return np.frombuffer(f.read(), dtype)
 
 
@@ -120,6 +166,33 @@ def narrowed(docs: DataFrame, id_col: str, text_col: str, null_text: str | None
     return docs.select(docs[id_col].alias("doc_id"), (F.coalesce(text, F.lit(null_text)) if null_text is not None else text).alias("text"))
 
 
+def unused(names: list[str], name: str) -> str:
+    """A column name like ``name`` that none of ``names`` has, whatever the case of its letters."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Keys that are told apart as hot, at most.
+HOT = 4096
+
+
+def evenly_joined(rows: DataFrame, facts: DataFrame, key: list[str], by: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row for each ``key`` and in ``many`` how many of the ``total`` rows carry it.
+
+    Keys with more than 1/HOT of the rows, of which there are fewer than HOT, are made known to every task: their rows are
+    dealt over so many shares, by the hash of the columns ``by``, that none has much more than 1/HOT of the rows, and their
+    facts are copied to each share (fewer than 2 * HOT copies in all). No key, however common, meets in one task.
+    """
+    shares = F.ceil(F.col("many") * HOT / max(total, 1)).cast("int")
+    hot = facts.filter(F.col("many") * HOT > total).select(*key, shares.alias("shares_"))
+    dealt = rows.join(F.broadcast(hot), key, "left")
+    dealt = dealt.withColumn("share_", F.when(F.col("shares_").isNull(), 0).otherwise(F.pmod(F.xxhash64(*by), F.col("shares_"))).cast("int"))
+    copied = facts.withColumn("share_", F.explode(F.sequence(F.lit(0), F.when(F.col("many") * HOT > total, shares - 1).otherwise(0))))
+    return dealt.join(copied.drop("many"), [*key, "share_"], how).drop("share_", "shares_")
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches by bytes, so that the working memory of a kernel follows neither the row count nor the longest texts."""
     for b in batches:

@@ -97,8 +97,9 @@ def oracle_sql() -> dict[str, str]:
         "op2_warc_fixity": """
             WITH r AS (
                 SELECT page_id, coalesce(html, '') AS html, chr(13) || chr(10) AS nl,
-                       'WARC/1.1' || nl || 'WARC-Type: response' || nl || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || nl
-                       || 'WARC-Target-URI: ' || coalesce(url, '') || nl || 'Content-Type: text/html' || nl
+                       'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || nl
+                       || 'WARC-Date: 1970-01-01T00:00:00Z' || nl
+                       || 'WARC-Target-URI: ' || replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A') || nl || 'Content-Type: text/html' || nl
                        || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || nl || nl || coalesce(html, '') || nl || nl AS record
                 FROM pages),
             t AS (SELECT page_id, html, octet_length(encode(record)) AS length, sha256(record) AS record_sha256 FROM r)

@@ -20,8 +20,6 @@ a lost executor costs a rewrite of the part and nothing else.
 from __future__ import annotations
 
 import json
-import os
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_buffer, dropped, ending, local_or_none, mapped, narrowed, opened, put_file, small_batches, stored
+from .common import FileStream, binary_buffer, dropped, ending, mapped, narrowed, opened, put_file, qualified, small_batches, stored
 from .word_encoder import word_encoder
 
 NO_ID = -(1 << 63)
@@ -41,24 +39,11 @@ def _part(uri: str, k: int) -> str:
     return f"{uri}/part-{k:05d}"
 
 
-class _Stream:
-    """Appends to a file that gets its name when it is whole."""
-
-    def __init__(self, uri: str):
-        self.path = local_or_none(uri)
-        self.part = f"{self.path}.{uuid.uuid4().hex}" if self.path else uri
-        self.file = opened(self.part, "wb")
-
-    def close(self) -> None:
-        self.file.close()
-        if self.path:
-            os.replace(self.part, self.path)
-
-
 def write_token_files(
     docs: DataFrame, uri: str, tokenizer_path: str, end_id: int = 1, width: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> dict:
     """Encode every document, write the files under ``uri`` (a folder that all executors share), return the manifest."""
+    uri = qualified(docs.sparkSession, uri)
     rows = narrowed(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     kind = {2: np.dtype("<u2"), 4: np.dtype("<u4")}[width]
 
@@ -80,16 +65,16 @@ def write_token_files(
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = TaskContext.get().partitionId()
-        streams = {x: _Stream(f"{_part(uri, k)}.{x}") for x in ("bin", "idx", "doc")}
+        streams = {x: FileStream(f"{_part(uri, k)}.{x}") for x in ("bin", "idx", "doc")}
         n_docs = n_ids = 0
         for b in ending(batches):
             raw, at = binary_buffer(b.column(1))
-            streams["bin"].file.write(raw.tobytes())
-            streams["idx"].file.write((at[:-1] // width + n_ids).astype("<u8").tobytes())
-            streams["doc"].file.write(np.asarray(b.column(0).fill_null(NO_ID), "<i8").tobytes())
+            streams["bin"].write(raw.tobytes())
+            streams["idx"].write((at[:-1] // width + n_ids).astype("<u8").tobytes())
+            streams["doc"].write(np.asarray(b.column(0).fill_null(NO_ID), "<i8").tobytes())
             n_docs += b.num_rows
             n_ids += len(raw) // width
-        streams["idx"].file.write(np.array([n_ids], "<u8").tobytes())
+        streams["idx"].write(np.array([n_ids], "<u8").tobytes())
         for s in streams.values():
             s.close()
         yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int64()), "n_docs": pa.array([n_docs], pa.int64()), "n_ids": pa.array([n_ids], pa.int64())})
@@ -112,6 +97,7 @@ def read_manifest(uri: str) -> dict:
 
 def read_token_files(spark: SparkSession, uri: str, ids: bool = True, slice_ids: int = 1 << 20) -> DataFrame:
     """A row per document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if wanted, ids."""
+    uri = qualified(spark, uri)
     manifest = read_manifest(uri)
     kind = np.dtype(f"<u{manifest['width']}")
     bases = [(p["part"], p["first_id"]) for p in manifest["parts"] if p["docs"]]

@@ -10,49 +10,72 @@ left, records are compared one by one, which locates each corrupt, missing or ex
 All of it is joins and aggregations over tables that halve many times on the way up; a
 node gathers at most ``fanout`` children and a leaf what fits in its bytes.
 
-Defined results: null urls and pages count as empty. Rows go by page_id, a null one first,
-then by content; repeated rows are records of their own. Two records never share an offset
-within a unit. An empty archive has no root, and equals another empty one.
+Defined results: null urls and pages count as empty; control characters CR and LF of a url
+are percent-encoded, so that a url never ends its header line. Rows go by page_id, a null one
+first, then by content; repeated rows are records of their own. Two records never share an
+offset within a unit. A long page is one record, however many leaves it covers. An empty
+archive has no root, and equals another empty one. Further columns may have any name; an
+``offset`` among them is replaced by that of the record.
 """
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import opened, stored
-from .token_files import _Stream
+from .common import FileStream, dropped, opened, qualified, stored, unused
 
 LEAF = 1 << 16
+EPOCH = "1970-01-01T00:00:00Z"
 FANOUT = 16
 
 
-def record_of(page_id: Column, url: Column, html: Column) -> Column:
-    """The bytes of a response record."""
+def record_of(page_id: Column, url: Column, html: Column, date: Column | None = None) -> Column:
+    """The bytes of a ``resource`` record of WARC 1.1; ``date``, an ISO 8601 string, is the crawl's (the epoch, where the table has none)."""
     body = F.coalesce(html.cast("string"), F.lit(""))
+    safe = F.replace(F.replace(F.coalesce(url.cast("string"), F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")),
-        F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url.cast("string"), F.lit("")),
+        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")),
+        F.lit(">\r\nWARC-Date: "), F.lit(EPOCH) if date is None else F.coalesce(date, F.lit(EPOCH)), F.lit("\r\nWARC-Target-URI: "), safe,
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"),
     )
     return F.concat(head, body, F.lit("\r\n\r\n")).cast("binary")
 
 
 def placed(records: DataFrame) -> DataFrame:
-    """``records`` (with page_id, digest and length) with the offset of each in one archive: prefix sums over range partitions."""
+    """``records`` (with page_id, digest and length) with the offset of each in one archive: running sums within range partitions, and sums of the partitions before."""
     n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numbered = stored(records.withColumn("_r", F.monotonically_increasing_id()), "records")
-    ordered = numbered.repartitionByRange(n, "page_id", "digest", "_r").withColumn("_p", F.spark_partition_id())
-    ordered = stored(ordered, "ordered")
-    totals = ordered.groupBy("_p").agg(F.sum("length").alias("_total"))  # a row for each partition
-    bases = totals.select(F.col("_p").alias("_q"), (F.sum("_total").over(Window.orderBy("_p")) - F.col("_total")).alias("_base"))
-    within = F.sum("length").over(Window.partitionBy("_p").orderBy("page_id", "digest", "_r").rowsBetween(Window.unboundedPreceding, 0)) - F.col("length")
-    out = ordered.withColumn("_within", within).join(F.broadcast(bases), F.col("_p") == F.col("_q"))
-    return out.withColumn("offset", F.col("_base") + F.col("_within")).drop("_r", "_p", "_q", "_base", "_within", "_total")
+    if "offset" in [c.lower() for c in records.columns]:
+        records = records.drop("offset")
+    row, part, base, total = (unused(records.columns, x) for x in ("row_", "part_", "base_", "total_"))
+    # Stored first, so that the sample for the ranges and the shuffle see the same row numbers.
+    numbered = stored(records.withColumn(row, F.monotonically_increasing_id()), "records")
+    ordered = numbered.repartitionByRange(n, "page_id", "digest", row).sortWithinPartitions("page_id", "digest", row)
+    at = ordered.columns.index("length")
+
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, before = TaskContext.get().partitionId(), 0
+        for b in batches:
+            ends = before + np.cumsum(np.asarray(b.column(at), np.int64))
+            if len(ends):
+                starts = np.r_[before, ends[:-1]]
+                before = int(ends[-1])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts), pa.array(np.full(len(starts), k))], names=[*b.schema.names, "offset", part])
+
+    shape = StructType([*ordered.schema.fields, StructField("offset", LongType()), StructField(part, LongType())])
+    ordered = stored(ordered.mapInArrow(running, shape), "ordered")
+    totals = ordered.groupBy(part).agg(F.sum("length").alias(total))  # a row for each partition
+    bases = totals.select(part, (F.sum(total).over(Window.orderBy(part)) - F.col(total)).alias(base))
+    out = ordered.join(F.broadcast(bases), part).withColumn("offset", F.col("offset") + F.col(base))
+    dropped(numbered)
+    return out.drop(row, part, base)
 
 
 def leaves(records: DataFrame, leaf: int = LEAF) -> DataFrame:
@@ -110,15 +133,16 @@ def audit(first: DataFrame, second: DataFrame, leaf: int = LEAF, fanout: int = F
 
 def write_warc(pages: DataFrame, uri: str) -> DataFrame:
     """Write each partition of (page_id, url, html) as one WARC file under ``uri``; returns the index (unit, offset, length, page_id)."""
+    uri = qualified(pages.sparkSession, uri)
     rows = pages.select(pages["page_id"].cast("long").alias("page_id"), record_of(pages["page_id"], pages["url"], pages["html"]).alias("record"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = f"part-{TaskContext.get().partitionId():05d}.warc"
-        stream, at = _Stream(f"{uri}/{unit}"), 0
+        stream, at = FileStream(f"{uri}/{unit}"), 0
         for b in batches:
             offsets, lengths = [], []
             for record in b.column(1).to_pylist():
-                stream.file.write(record)
+                stream.write(record)
                 offsets.append(at)
                 lengths.append(len(record))
                 at += len(record)
@@ -128,23 +152,36 @@ def write_warc(pages: DataFrame, uri: str) -> DataFrame:
     return stored(rows.mapInArrow(write, "unit string, offset long, length long, page_id long"), "index")
 
 
+def _opened_or_none(uri: str):
+    try:
+        return opened(uri, "rb")
+    except FileNotFoundError:
+        return None
+
+
 def file_records(index: DataFrame, uri: str) -> DataFrame:
     """The records of the files under ``uri`` as they are now, at the places an index (unit, offset, length) gives: with digest, or absent where a file has no such bytes."""
     import hashlib
 
+    uri = qualified(index.sparkSession, uri)
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, file = None, None
         for b in batches:
             out = []
             for unit, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                try:
-                    with opened(f"{uri}/{unit}", "rb") as f:
-                        f.seek(offset)
-                        data = f.read(length)
-                except FileNotFoundError:
-                    continue
-                if data:
-                    out.append((unit, offset, len(data), hashlib.sha256(data).digest()))
+                if unit != name:
+                    if file:
+                        file.close()
+                    name, file = unit, _opened_or_none(f"{uri}/{unit}")
+                if file:
+                    file.seek(offset)
+                    data = file.read(length)
+                    if data:
+                        out.append((unit, offset, len(data), hashlib.sha256(data).digest()))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.binary()))], names=["unit", "offset", "length", "digest"])
+        if file:
+            file.close()
 
     rows = index.select("unit", "offset", "length").repartition("unit").sortWithinPartitions("unit", "offset")
     return rows.mapInArrow(read, "unit string, offset long, length long, digest binary")
@@ -153,26 +190,38 @@ def file_records(index: DataFrame, uri: str) -> DataFrame:
 def read_warc(spark: SparkSession, uri: str, units: list[str]) -> DataFrame:
     """(unit, offset, length, page_id, url, html) parsed from WARC files."""
 
+    uri = qualified(spark, uri)
+    names, kinds = ("unit", "offset", "length", "page_id", "url", "html"), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+
+    def parsed(file) -> Iterator[tuple[int, int, int | None, str, str]]:
+        at = 0
+        while head := file.readline():
+            start, fields = at, {}
+            at += len(head)
+            while (line := file.readline()) not in (b"\r\n", b""):
+                at += len(line)
+                key, _, value = line.decode("utf-8", "surrogateescape").partition(": ")
+                fields[key] = value.rstrip("\r\n")
+            size = int(fields["Content-Length"])
+            body = file.read(size)
+            file.read(4)
+            at += 2 + size + 4
+            page = fields["WARC-Record-ID"][len("<urn:page:") : -1]
+            yield start, at - start, int(page) if page else None, fields["WARC-Target-URI"], body.decode()
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for unit in b.column(0).to_pylist():
-                with opened(f"{uri}/{unit}", "rb") as f:
-                    at = 0
-                    while head := f.readline():
-                        start, fields = at, {}
-                        at += len(head)
-                        while (line := f.readline()) not in (b"\r\n", b""):
-                            at += len(line)
-                            key, _, value = line.decode("utf-8", "surrogateescape").partition(": ")
-                            fields[key] = value.rstrip("\r\n")
-                        size = int(fields["Content-Length"])
-                        body = f.read(size)
-                        f.read(4)
-                        at += 2 + size + 4
-                        page = fields["WARC-Record-ID"][len("<urn:page:") : -1]
-                        yield pa.RecordBatch.from_pydict({"unit": [unit], "offset": [start], "length": [at - start], "page_id": pa.array([int(page) if page else None], pa.int64()), "url": [fields["WARC-Target-URI"]], "html": [body.decode()]})
+                with opened(f"{uri}/{unit}", "rb") as raw:
+                    held, size = [], 0
+                    for r in parsed(io.BufferedReader(raw) if not isinstance(raw, io.BufferedReader) else raw):
+                        held.append((unit, *r))
+                        size += r[1]
+                        if size > 4 << 20:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=list(names))
+                            held, size = [], 0
+                    if held:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=list(names))
 
     listed = spark.createDataFrame([(u,) for u in units], "unit string").repartition(max(1, len(units)))
     return listed.mapInArrow(read, "unit string, offset long, length long, page_id long, url string, html string")
-
-

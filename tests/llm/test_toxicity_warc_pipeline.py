@@ -1,6 +1,7 @@
 """Toxicity by held-out accuracy, the fixity audit by planted faults, the pipeline by a brute-force version of its stages."""
 
 import hashlib
+import itertools
 import zlib
 
 import numpy as np
@@ -16,7 +17,6 @@ from foldstat.llm import toxicity, warc
 from .conftest import SF
 from .test_substring_dedup import brute as brute_substrings
 from .test_substring_dedup import words_of
-from .test_topk_simhash import brute_fingerprint, brute_roots
 
 FAST = toxicity.Settings(steps=120, batch=16)
 
@@ -78,6 +78,26 @@ def test_gradient_of_the_network():
     assert loss(many) < loss(few) / 3
 
 
+def brute_near(texts):
+    """The first text each is linked to by shared sets of five-word shingles of a Jaccard similarity of 0.8 or more, transitively."""
+    sets = []
+    for text in texts:
+        words = words_of("".join(c.lower() if "A" <= c <= "Z" else c for c in text))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
 PAGES = [(i, f"http://h/{i}", "<p>" + "é" * (i * 37 % 900) + "</p>") for i in range(400)] + [(None, None, None), (7, "http://h/7", "twice"), (7, "http://h/7", "twice")]
 
 
@@ -92,7 +112,7 @@ def test_offsets_are_prefix_sums(spark):
     made = []
     for p, u, h in PAGES:
         body = (h or "").encode()
-        rec = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{'' if p is None else p}>\r\nWARC-Target-URI: {u or ''}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+        rec = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{'' if p is None else p}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: {u or ''}\r\nContent-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
         made.append((-1 if p is None else p, hashlib.sha256(rec).digest(), len(rec)))
     want, at = [], 0
     for _, d, n in sorted(made):
@@ -114,6 +134,40 @@ def test_audit_finds_exactly_the_faults(spark, leaf):
     assert warc.audit(first.limit(0), first.limit(0)).collect() == []
 
 
+def test_a_url_never_ends_its_header_line(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a\r\nContent-Length: 2", "whole"), (2, "\n", "")], "page_id long, url string, html string").coalesce(1)
+    index = warc.write_warc(pages, str(tmp_path))
+    back = sorted((r.page_id, r.url, r.html) for r in warc.read_warc(spark, str(tmp_path), [r.unit for r in index.select("unit").distinct().collect()]).collect())
+    assert back == [(1, "http://a%0D%0AContent-Length: 2", "whole"), (2, "%0A", "")]
+
+
+def test_placed_keeps_columns_of_any_name(spark):
+    names = "page_id long, length long, digest binary, row_ int, part_ int, base_ int, total_ int, `offset` string, _r int, _p int"
+    out = warc.placed(spark.createDataFrame([(i, 10, b"d", 1, 2, 3, 4, "x", 5, 6) for i in range(20)], names))
+    assert sorted(out.columns) == sorted(["page_id", "length", "digest", "row_", "part_", "base_", "total_", "_r", "_p", "offset"])
+    assert sorted((r["offset"], r.row_, r.part_, r.base_, r.total_) for r in out.collect()) == [(10 * i, 1, 2, 3, 4) for i in range(20)]
+
+
+def test_pooling_against_plain_loops():
+    rng = np.random.default_rng(4)
+    s = toxicity.Settings(dims=3, filters=2)
+    table = rng.standard_normal((toxicity.PARTS << toxicity.BITS, 3)).astype(np.float32)
+    kernels = [rng.standard_normal((w, 3, 2)).astype(np.float32) for w in (1, 2, 3)]
+    model = toxicity.Model(s, table, kernels, [rng.standard_normal(2).astype(np.float32) for _ in range(3)], rng.standard_normal(6).astype(np.float32), 0.3)
+    sizes = [0, 1, 2, 3, 7, 0, 5]
+    rows = (rng.integers(0, 1 << toxicity.BITS, (sum(sizes), toxicity.PARTS)) + (np.arange(toxicity.PARTS) << toxicity.BITS)).astype(np.int32)
+    first = np.r_[0, np.cumsum(sizes)]
+    logits = model.logits(rows, first)
+    for d in range(len(sizes)):
+        words = [sum(table[i] for i in rows[w]) for w in range(first[d], first[d + 1])]
+        out = 0.3
+        for a, (kernel, bias) in enumerate(zip(kernels, model.biases, strict=True)):
+            for f in range(2):
+                best = max((sum(float(words[i + j] @ kernel[j, :, f]) for j in range(len(kernel))) for i in range(len(words) - len(kernel) + 1)), default=-np.inf)
+                out += max(best + bias[f], 0) * model.dense[2 * a + f]
+        assert abs(out - logits[d]) < 1e-4
+
+
 def test_files_round_trip_and_audit(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").repartition(3)
     index = warc.write_warc(pages, str(tmp_path / "one"))
@@ -148,7 +202,7 @@ def test_pipeline_against_brute_force(spark):
         k = "".join(c.lower() if "A" <= c <= "Z" else c for c in r[t] or "")
         best[k] = max(best.get(k, r), r, key=lambda r: r[d])
     exact = list(best.values())
-    roots = brute_roots([brute_fingerprint(r[t] or "") for r in exact], 3)
+    roots = brute_near([r[t] or "" for r in exact])
     least = {}
     for r, root in zip(exact, roots, strict=True):
         least[root] = min(least.get(root, r), r, key=lambda r: r[d])
