@@ -4,7 +4,8 @@ A window of ``k`` words is an edge of the graph. Removed is each word under a wi
 whose words also start earlier (smaller doc_id, or the same document and an earlier
 start). The steps, each a Spark stage with tables in the shared folder between them:
 
-1. Documents are stored in blocks of a few MB, compressed.
+1. Documents are packed in blocks of a few MB, in a table that is bucketed by block: the
+   later steps join it with what they know of a block, and texts are not shuffled again.
 2. Anchors. Each window has a smallest (k // 2)-gram, and equal windows have it in
    equal places, so only windows whose anchor occurs twice in the corpus can repeat.
    Each block deals its distinct anchors out by value; what comes back are those that
@@ -12,22 +13,25 @@ start). The steps, each a Spark stage with tables in the shared folder between t
 3. Edges. Windows with such an anchor are dealt out by their 96-bit hash, distinct ones
    of a block only. Where an edge meets itself, its earliest occurrence is its source,
    and each other occurrence learns the source's coordinates.
-4. Compaction. Edges that follow each other in a text and whose sources follow each
-   other too form a nonbranching path: runs of them become one row (block, first word,
-   length, source block, source word). From here on the work is by path, not by edge.
-5. Verification and removal. Paths join both the blocks they lie in and the blocks of
-   their sources; each side hashes the words of the path with SHA-256 from the texts
+4. Compaction (``debruijn``). The repeated edges make a graph: nodes of k - 1 words with
+   their degrees, nonbranching paths linked by joins. Every run of later occurrences
+   becomes stretches of paths (block, first word, n, path, place in the path).
+5. Verification and removal. Stretches join both the blocks they lie in and the blocks of
+   their sources; each side hashes the words of the stretch with SHA-256 from the texts
    themselves. If a single pair of digests differs, 96 bits were not enough, and all is
    done again with another hash: the result rests on compared texts, not on luck.
 
 Nothing a single key gathers grows with its copies: a block sends an anchor or an edge
-once however often it holds it, and a source is asked once for a path however many
-copies there are.
+once however often it holds it, and a source is asked once for a stretch however many
+copies there are. The ranges of hashes that anchors and edges are dealt to grow with the
+number of blocks, so that one holds the windows of about eight blocks.
 
 Defined results: a null text has no words. Rows of one doc_id count as one document:
 of equal windows the smaller start is the earlier, and equal starts stand side by side,
-so repeated rows get equal results. A null doc_id comes before all others. Texts
-without any removed word are returned as they were. An empty table stays empty.
+so repeated rows get equal results. A null doc_id comes before all others; doc_ids are
+integers, or strings of such. Texts without any removed word are returned as they were.
+A text longer than a block is a block of its own, in one task's memory. An empty table
+stays empty. Further columns may have any name.
 """
 
 from __future__ import annotations
@@ -41,9 +45,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from .common import SpanHasher, bound_batches, dropped, ending, small_batches, stored, text_buffer, word_spans
+from . import debruijn
+from .common import SpanHasher, bound_batches, bucketed, dropped, ending, small_batches, stored, text_buffer, unused, word_spans
 
 #: Bytes of the documents of a block.
 BLOCK = 2 << 20
@@ -255,7 +260,7 @@ def sources(blocks: DataFrame, anchors: DataFrame, id_col: str, text_col: str, k
             for r in (r for r in rows if not r[2]):
                 word = _unpacked(r[6])
                 yield reply(np.full(len(word), r[1]), word, np.full(len(word), r[1]), _unpacked(r[5]))
-            rows = [r for r in rows if r[2]]
+            rows = sorted((r for r in rows if r[2]), key=lambda r: r[1])  # of equal coordinates all edges take the same block's
             if not rows:
                 continue
             one = np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows])
@@ -274,53 +279,60 @@ def sources(blocks: DataFrame, anchors: DataFrame, id_col: str, text_col: str, k
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "block long, word binary, from_block binary, from_word binary")
 
 
-def paths(found: DataFrame) -> DataFrame:
-    """(block, word, n, from_block, from_word): runs of n windows that follow each other, as their sources do."""
+def spans(found: DataFrame) -> DataFrame:
+    """(block, word, n, from_block, from_word): runs of n later windows that follow each other, as their sources do."""
 
     def compact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_bucket(batches):
+            block = rows[0][0]
             word, from_block, shift = (np.concatenate([_unpacked(r[i]) for r in rows]) for i in (1, 2, 3))
-            order = np.argsort(word, kind="stable")
-            word, from_block, shift = word[order], from_block[order], shift[order]
-            # A window found earlier within its block has its source there; another block may know an even earlier one. Both are sources, one is enough.
-            single = np.r_[True, word[1:] != word[:-1]]
-            word, from_block, shift = word[single], from_block[single], shift[single]
-            fresh = np.flatnonzero(np.r_[True, (word[1:] != word[:-1] + 1) | (from_block[1:] != from_block[:-1]) | (shift[1:] != shift[:-1])])
+            order = np.argsort(word)
+            word, from_block, from_word = word[order], from_block[order], (word + shift)[order]
+            # A window met earlier in its own block has its source there, unless that one was itself met earlier in another.
+            near = np.flatnonzero(from_block == block)
+            far = np.flatnonzero(from_block != block)
+            if len(near) and len(far):
+                at = far[np.minimum(np.searchsorted(word[far], from_word[near]), len(far) - 1)]
+                led = word[at] == from_word[near]
+                near, at = near[led], at[led]
+                from_block[near], from_word[near] = from_block[at], from_word[at]
+            fresh = np.flatnonzero(np.r_[True, (word[1:] != word[:-1] + 1) | (from_block[1:] != from_block[:-1]) | (from_word[1:] != from_word[:-1] + 1)])
             n = np.diff(np.r_[fresh, len(word)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(fresh), rows[0][0])), pa.array(word[fresh]), pa.array(n), pa.array(from_block[fresh]), pa.array(word[fresh] + shift[fresh])],
+                [pa.array(np.full(len(fresh), block)), pa.array(word[fresh]), pa.array(n), pa.array(from_block[fresh]), pa.array(from_word[fresh])],
                 names=["block", "word", "n", "from_block", "from_word"],
             )
 
     return found.repartition("block").sortWithinPartitions("block").mapInArrow(compact, "block long, word long, n long, from_block long, from_word long")
 
 
-def _removal(blocks: DataFrame, runs: DataFrame, schema: StructType, text_col: str, k: int, seed: int, with_text: bool) -> DataFrame:
-    own = runs.groupBy("block").agg(F.collect_list(F.struct("word", "n", "from_block", "from_word")).alias("runs"))
-    asked = runs.select(F.col("from_block").alias("block"), F.col("from_word").alias("word"), "n").distinct().groupBy("block").agg(F.collect_list(F.struct("word", "n")).alias("asked"))
-    joined = blocks.join(own, "block", "left").join(asked, "block", "left").select("block", "payload", "runs", "asked")
+def _removal(blocks: DataFrame, later: DataFrame, sources_: DataFrame, schema: StructType, names_: list[str], text_col: str, k: int, seed: int, with_text: bool) -> DataFrame:
+    """Rows of the result, and beside them a digest for each stretch (path, at, n) from each block that has it: ``later`` ones are removed, ``sources_`` stay."""
+    stretch = F.collect_list(F.struct("word", "n", "path", "at"))
+    own, asked_ = later.groupBy("block").agg(stretch.alias("later")), sources_.groupBy("block").agg(stretch.alias("asked"))
+    joined = blocks.join(own, "block", "left").join(asked_, "block", "left").select("block", "payload", "later", "asked")
+    counts_, removed_, kept_, path_, at_, n_, digest_ = names_
     arrow = to_arrow_schema(schema)
     names = [f.name for f in schema]
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in ending(batches):
-            for block, payload, runs_, asked_ in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for payload, later_, asked_ in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 rows = _opened(payload.as_buffer())
                 w = _Words(rows.column(text_col), k, seed)
                 joined, starts, ends = w.joined()
                 change = np.zeros(w.n + 1, np.int64)
                 seen: dict[tuple, bytes] = {}
-                for r in runs_ or []:
+                for r in later_ or []:
                     size = r["n"] + k - 1
                     change[r["word"]] += 1
                     change[r["word"] + size] -= 1
-                    key = (r["from_block"], r["from_word"], r["n"])
-                    digest = hashlib.sha256(joined[starts[r["word"]] : ends[r["word"] + size - 1]]).digest()
+                for r in [*(later_ or []), *(asked_ or [])]:
+                    key = (r["path"], r["at"], r["n"])
+                    digest = hashlib.sha256(joined[starts[r["word"]] : ends[r["word"] + r["n"] + k - 2]]).digest()
                     if seen.setdefault(key, digest) != digest:
                         seen[key] = b"differs"
                 checks = list(seen.items())
-                for a in asked_ or []:
-                    checks.append(((block, a["word"], a["n"]), hashlib.sha256(joined[starts[a["word"]] : ends[a["word"] + a["n"] + k - 2]]).digest()))
                 gone = np.cumsum(change)[:-1] > 0
                 # Runs of kept words of one document, as pieces of the joined text.
                 kept = ~gone
@@ -342,47 +354,58 @@ def _removal(blocks: DataFrame, runs: DataFrame, schema: StructType, text_col: s
                 if with_text:
                     columns[text_col] = pa.array(fresh, pa.string())
                 n = rows.num_rows
-                columns |= {"__n_words": pa.array(counts), "__n_removed": pa.array(removed), "__kept": pa.array(shas, pa.string())}
+                columns |= {counts_: pa.array(counts), removed_: pa.array(removed), kept_: pa.array(shas, pa.string())}
                 yield pa.RecordBatch.from_arrays([columns[f].cast(arrow.field(f).type) if f in columns else pa.nulls(n, arrow.field(f).type) for f in names], schema=arrow)
                 if checks:
-                    found = {"__block": [c[0][0] for c in checks], "__word": [c[0][1] for c in checks], "__n": [c[0][2] for c in checks], "__digest": [c[1] for c in checks]}
+                    found = {path_: [c[0][0] for c in checks], at_: [c[0][1] for c in checks], n_: [c[0][2] for c in checks], digest_: [c[1] for c in checks]}
                     yield pa.RecordBatch.from_arrays([pa.array(found[f], arrow.field(f).type) if f in found else pa.nulls(len(checks), arrow.field(f).type) for f in names], schema=arrow)
 
     return joined.mapInArrow(remove, schema)
 
 
-def _deduplicated(docs: DataFrame, id_col: str, text_col: str, k: int, with_text: bool, seed: int = 0) -> DataFrame:
-    """The columns of ``docs`` and __n_words, __n_removed, __kept (SHA-256 of the kept words)."""
+def _deduplicated(docs: DataFrame, id_col: str, text_col: str, k: int, with_text: bool, seed: int = 0) -> tuple[DataFrame, list[str]]:
+    """The columns of ``docs`` (or the id alone) and three more: words, removed words, SHA-256 of the kept words. Also their names."""
     spark = docs.sparkSession
     kept_cols = docs.schema.fields if with_text else [f for f in docs.schema.fields if f.name == id_col]
-    extra = [StructField("__n_words", LongType()), StructField("__n_removed", LongType()), StructField("__kept", StringType())]
-    checks = [StructField("__block", LongType()), StructField("__word", LongType()), StructField("__n", IntegerType()), StructField("__digest", BinaryType())]
-    schema = StructType([StructField(f.name, f.dataType, True) for f in kept_cols] + extra + checks)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = stored(blocks_of(docs), "blocks")
+    names = [unused(docs.columns, x) for x in ("n_words", "n_removed", "kept_sha256", "path_", "at_", "n_", "digest_")]
+    kinds = [LongType(), LongType(), StringType(), LongType(), LongType(), LongType(), BinaryType()]
+    schema = StructType([StructField(f.name, f.dataType, True) for f in kept_cols] + [StructField(*x) for x in zip(names, kinds, strict=True)])
+    packed = stored(blocks_of(docs), "blocks")
+    count, partitions = packed.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = bucketed(packed, "block", max(partitions, count // 4))
+    dropped(packed)
+    buckets = max(4 * partitions, count // 8)
     while True:
         anchors = repeated_anchors(blocks, text_col, k, seed, buckets)
         found = stored(sources(blocks, anchors, id_col, text_col, k, seed, buckets), "sources")
-        runs = stored(paths(found), "paths")
+        runs = stored(spans(found), "spans")
         dropped(found)
-        out = stored(_removal(blocks, runs, schema, text_col, k, seed, with_text), "removed")
-        dropped(runs)
-        pairs = out.filter("__digest is not null").groupBy("__block", "__word", "__n").agg(F.min("__digest").alias("a"), F.max("__digest").alias("b"))
+        asked = stored(debruijn.asked(runs), "asked")
+        nodes = stored(debruijn.nodes(blocks, asked, lambda payload, seed=seed: _Words(_opened(payload).column(text_col), k, seed), k), "nodes")
+        paths = stored(debruijn.paths(debruijn.pieces(nodes)), "paths")
+        dropped(nodes)
+        parts = stored(debruijn.stretches(asked, paths), "stretches")
+        later = debruijn.occurrences(runs, parts)
+        out = stored(_removal(blocks, later, debruijn.places(parts), schema, names, text_col, k, seed, with_text), "removed")
+        dropped(runs, asked, paths, parts)
+        path, at, n, digest = names[3:]
+        pairs = out.filter(F.col(digest).isNotNull()).groupBy(path, at, n).agg(F.min(digest).alias("a"), F.max(digest).alias("b"))
         if not pairs.filter("a <> b").limit(1).count():
             break
         dropped(out)
         seed += 100
     dropped(blocks)
-    return out.filter("__digest is null").select(*[f.name for f in kept_cols], "__n_words", "__n_removed", "__kept")
+    return out.filter(F.col(digest).isNull()).select(*[f"`{f.name}`" for f in kept_cols], *names[:3]), names
 
 
 def substring_dedup(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space)."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    out = _deduplicated(rows, "doc_id", "text", k, with_text=False)
-    return out.select("doc_id", F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__kept").alias("kept_sha256"))
+    out, _ = _deduplicated(rows, "doc_id", "text", k, with_text=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def deduplicated(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with all their columns; a text that loses words becomes the words it keeps, joined by one space."""
-    return _deduplicated(docs, id_col, text_col, k, with_text=True).select(*docs.columns)
+    out, _ = _deduplicated(docs, id_col, text_col, k, with_text=True)
+    return out.select(*[f"`{c}`" for c in docs.columns])
