@@ -5,24 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, stored
+from .common import dropped, evenly_joined, stored
 
 
-def _with_least(both: DataFrame) -> DataFrame:
-    """Each (u, v) with m, the least of u and all its neighbours."""
-    least = both.groupBy("u").agg(F.min("v").alias("n")).select(F.col("u").alias("w"), F.least("u", "n").alias("m"))
-    return both.join(least, both["u"] == least["w"]).select("u", "v", "m")
+def _with_least(both: DataFrame, total: int) -> DataFrame:
+    """Each of the ``total`` rows (u, v) with m, the least of u and all its neighbours. The centre of a star is no single task's."""
+    least = both.groupBy("u").agg(F.min("v").alias("n"), F.count(F.lit(1)).alias("many")).select("u", F.least("u", "n").alias("m"), "many")
+    return evenly_joined(both, least, ["u"], ["v"], total)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_least(both, 2 * edges.count()).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    led = _with_least(down)
-    return led.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(led.select("u", F.col("m").alias("v")))
+    led = _with_least(down, edges.count())
+    each = F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v"))))
+    return led.select(each.alias("x")).select("x.*")
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -40,8 +41,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if _settled(now):
             break
         # What the steps repeat is dropped once, where the round's edges are written.
-        fresh = stored(_small_star(_large_star(now)).filter("u <> v").distinct(), "edges")
-        dropped(now)
+        large = stored(_large_star(now), "edges")
+        fresh = stored(_small_star(large).filter("u <> v").distinct(), "edges")
+        dropped(now, large)
         now = fresh
     else:
         raise RuntimeError("components did not settle")

@@ -16,10 +16,14 @@ chunks is a task's unit of work, so no bucket, however hot, meets in one task. A
 emits a spanning forest of what it links (fewer rows than it read), never all its pairs;
 components are found by star steps over these edges.
 
+A fingerprint, a component or a bucket that many rows share is dealt over many tasks in every
+join (``evenly_joined``).
+
 Equal fingerprints are one node. Defined results: a null text counts as empty; a text
 without words has fingerprint zero, and links like any other; a text of fewer words than
 a shingle is one shingle. A null doc_id loses to any other as the least of a component,
 and is the component's id only where no row has one. Repeated rows share their result.
+A long text is read whole; its shingles' digests are added up a run of words at a time.
 """
 
 from __future__ import annotations
@@ -33,11 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import dropped, ending, narrowed, small_batches, stored, text_bytes
+from .common import dropped, ending, evenly_joined, narrowed, small_batches, stored, text_bytes, unused
 from .components import components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
+#: Shingles of a text that are added up at once.
+RUN = 1 << 16
 #: Rows of a chunk of a bucket.
 CHUNK = 2048
 
@@ -48,16 +54,12 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     words = text.translate(_LOWER).split()  # splits at the six ASCII white spaces
     if not words:
         return 0
-    h = xxhash.xxh64_digest
-    if len(words) <= shingle:
-        digests = h(b" ".join(words), SEED)
-    else:
-        digests = b"".join([h(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))])
-    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(bits), 1 << 16):
-        total += bits[at : at + (1 << 16)].sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > len(bits)).tobytes(), "big")
+    h, total, n = xxhash.xxh64_digest, np.zeros(64, np.int64), max(1, len(words) - shingle + 1)
+    for at in range(0, n, RUN):
+        own = words[at : min(at + RUN, n) + shingle - 1]
+        digests = b"".join([h(s, SEED) for s in map(b" ".join, zip(*(own[i:] for i in range(min(shingle, len(own)))), strict=False))])
+        total += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -184,11 +186,12 @@ def linked(values: np.ndarray, unit: np.ndarray, side: np.ndarray, radius: int)
 
 def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     """Edges (u, v) that join exactly the distinct fingerprints ``fp`` within ``radius`` bits, transitively."""
-    masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(nodes.count(), radius)]
+    count = nodes.count()
+    masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(count, radius)]
     keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("choice", "bits"))
-    sizes = keyed.groupBy("choice", "bits").count().filter(F.col("count") > CHUNK)
-    sizes = sizes.select("choice", "bits", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    dealt = keyed.join(sizes, ["choice", "bits"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    sizes = keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > CHUNK)
+    sizes = sizes.select("choice", "bits", "many", F.ceil(F.col("many") / CHUNK).cast("int").alias("chunks"))
+    dealt = evenly_joined(keyed, sizes, ["choice", "bits"], ["fp"], count * len(masks), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     each = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     units = each.select(
@@ -223,20 +226,27 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
 def near_dedup(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fp (signed long), component_id."""
     made = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = stored(made.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    found = stored(components(links(nodes.select("fp"), radius)), "components")
-    rooted = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    leasts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(rooted.join(leasts, "root").select(F.col("fp").alias("node"), "component_id"), "named")
-    dropped(nodes, found)
-    return made.join(named, made["fp"] == named["node"]).select("doc_id", "fp", "component_id")
+    nodes = stored(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many")), "nodes")
+    return labelled(made, nodes, components(links(nodes.select("fp"), radius)))
+
+
+def labelled(made: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id) of the rows ``made`` (doc_id, fp) from their nodes (fp, least doc_id, many rows) and the nodes' components."""
+    found = stored(found, "components")
+    rooted = stored(nodes.join(found, nodes["fp"] == found["node"]).select("fp", "least", F.col("component").alias("root")), "rooted")  # nodes without a link stand alone
+    leasts = rooted.groupBy("root").agg(F.min("least").alias("led"), F.count(F.lit(1)).alias("many"))
+    led = evenly_joined(rooted, leasts, ["root"], ["fp"], rooted.count()).select("fp", "led")
+    alone = nodes.join(found, nodes["fp"] == found["node"], "left_anti").select("fp", F.col("least").alias("led"))
+    named = stored(led.unionByName(alone).join(nodes.select("fp", "many"), "fp"), "named")
+    dropped(nodes, found, rooted)
+    return evenly_joined(made, named, ["fp"], ["doc_id"], made.count()).select("doc_id", "fp", F.col("led").alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` of which one of each component stays: that with the smallest doc_id.
 
     Rows without a doc_id stay where their whole component has none. Where doc_ids repeat, rows
-    are told apart by their fingerprints, and of equal ones a single row stays.
+    are told apart by their fingerprints, and of equal ones a single row stays. Columns may have any name.
     """
     made = stored(near_dedup(docs, radius, shingle, id_col, text_col), "marked")
     return only_least(docs, made, lambda texts: np.array([fingerprint(t, shingle) for t in text_bytes(texts)], np.uint64), id_col, text_col)
@@ -244,17 +254,19 @@ def deduplicated(docs: DataFrame, radius: int = 3, shingle: int = 3, id_col: str
 
 def only_least(docs: DataFrame, made: DataFrame, prints: Callable[[pa.Array], np.ndarray], id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that are the least of their component in ``made`` (doc_id, fp, component_id); ``prints`` gives the fp of texts."""
-    kept = made.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept_id"), F.col("fp").alias("__kept_fp"))
+    kept_id, kept_fp, mark = (unused(docs.columns, x) for x in ("kept_id", "kept_fp", "fp"))
+    kept = made.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept_id), F.col("fp").alias(kept_fp))
+    all_columns = [f"`{c}`" for c in docs.columns]
     if not made.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept_id"]), "left_semi").select(*[docs[c] for c in docs.columns])
+        return docs.join(kept, docs[id_col].eqNullSafe(kept[kept_id]), "left_semi").select(*[docs[c] for c in all_columns])
     at = docs.columns.index(text_col)
 
     def tagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             out = prints(b.column(at).cast(pa.large_string()))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out.view(np.int64))], names=[*b.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out.view(np.int64))], names=[*b.schema.names, mark])
 
-    rows = docs.mapInArrow(tagged, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
-    out = rows.join(kept, rows[id_col].eqNullSafe(kept["__kept_id"]) & (rows["__fp"] == kept["__kept_fp"]), "left_semi")
-    numbered = out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, "__fp"]).unionByName(out.filter(F.col(id_col).isNull()))
-    return numbered.select(*docs.columns)
+    rows = docs.mapInArrow(tagged, StructType([*docs.schema.fields, StructField(mark, LongType())]))
+    out = rows.join(kept, rows[id_col].eqNullSafe(kept[kept_id]) & (rows[mark] == kept[kept_fp]), "left_semi")
+    numbered = out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col, mark]).unionByName(out.filter(F.col(id_col).isNull()))
+    return numbered.select(*all_columns)
