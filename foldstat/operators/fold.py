@@ -1,24 +1,28 @@
 """The one pattern of every pass over the rows: fold each partition's Arrow batches into a small state, merge the states in partition order.
 
 The states have a fixed size, whatever the number of rows. They reach the driver one for
-each partition; beyond ``FAN_IN`` partitions they are merged in a tree of tasks before.
+each partition; beyond ``FAN_IN`` partitions neighbours are merged in a tree of tasks before.
+Where the number is known only when the input has run, one level of the tree is always there.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 FAN_IN = 256
 
 
-def fold(df: DataFrame, parts: int, start: Callable[[], object], step: Callable, merge: Callable):
-    """step(state, matrix of doubles with nan for null, Arrow batch) and merge(left, right) return the new state; ``df`` has about ``parts`` partitions."""
+def fold(df: DataFrame, parts: int | None, start: Callable[[], object], step: Callable, merge: Callable):
+    """step(state, matrix of doubles with nan for null, Arrow batch) and merge(left, right) return the new state; ``df`` has about ``parts`` partitions, None if unknown."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = start()
@@ -29,24 +33,27 @@ def fold(df: DataFrame, parts: int, start: Callable[[], object], step: Callable,
 
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((k, s) for b in batches for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        state = None
-        for _, s in rows:
-            s = pickle.loads(s)
-            state = s if state is None else merge(state, s)
-        if rows:
-            yield _row(rows[0][0], state)
+        for group, own in groupby(rows, lambda r: r[0] // FAN_IN):  # hashing may bring several groups of neighbours here
+            yield _row(group, reduce(merge, (pickle.loads(s) for _, s in own)))
 
     shape = "part int, state binary"
     states = df.mapInArrow(run, shape)
-    while parts > FAN_IN:
-        groups = -(-parts // FAN_IN)
-        states = states.repartitionByRange(groups, "part").mapInArrow(again, shape)  # neighbours meet, so the order stays
-        parts = groups
-    out = None
-    for row in sorted(states.collect(), key=lambda r: r.part):
-        s = pickle.loads(row.state)
-        out = s if out is None else merge(out, s)
-    return start() if out is None else out
+    while parts is None or parts > FAN_IN:
+        groups = FAN_IN if parts is None else -(-parts // FAN_IN)
+        # By hash of the group: a range partitioning would run the whole pass once more to find its bounds.
+        states = states.repartition(groups, F.floor(F.col("part") / FAN_IN)).mapInArrow(again, shape)
+        parts = min(groups, FAN_IN) if parts is None else groups
+    rows = sorted(states.collect(), key=lambda r: r.part)
+    return reduce(merge, (pickle.loads(r.state) for r in rows)) if rows else start()
+
+
+def fold_here(table: pa.Table, start: Callable[[], object], step: Callable):
+    """The same over rows that are on the driver."""
+    state = start()
+    for b in table.to_batches(max_chunksize=10_000):
+        if b.num_rows:
+            state = step(state, matrix(b), b)
+    return state
 
 
 def _row(part: int, state) -> pa.RecordBatch:

@@ -7,11 +7,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
-
 from ..errors import ValidationError
 from ..sources.design import Design
-from .fold import fold, matrix, triangle
+from .fold import fold, fold_here, matrix, triangle
 
 
 class Totals:
@@ -90,8 +88,7 @@ def totals(design: Design, binary: bool = False, factor: bool = True) -> Totals:
             own.r = triangle(None, with_const(m, p, weighted))
         return t.merge(own)
 
-    keep = [c for c in design.frame.columns if not c.startswith("_o")]
-    t = fold(design.frame.select(*keep), design.parts, lambda: Totals(p, extra), step, lambda a, b: a.merge(b))
+    t = design.fold(lambda: Totals(p, extra), step, lambda a, b: a.merge(b), checked=False)
     for i, name in enumerate(design.numeric):
         if t.words[i]:
             raise ValidationError(f"column '{name}' could not be cast to a numeric type (f64): {t.words[i]} value(s) are no numbers")
@@ -132,24 +129,42 @@ def products(design: Design, blocks: list[Block], kind: str) -> list[np.ndarray]
         return s
 
     start = lambda: [np.zeros((b.shape[1],) * 2) for b, _ in blocks]
-    return fold(design.numbers, design.parts, start, step, lambda a, b: [x + y for x, y in zip(a, b, strict=True)])
+    return design.fold(start, step, lambda a, b: [x + y for x, y in zip(a, b, strict=True)])
+
+
+#: Cluster sums that a partition holds back at most.
+PENDING = 1 << 16
 
 
-def cluster_products(frame: DataFrame, parts: int, score: Callable[[np.ndarray], list[np.ndarray]], sizes: list[int]) -> tuple[list[np.ndarray], int]:
+def cluster_products(design: Design, score: Callable[[np.ndarray], list[np.ndarray]], sizes: list[int]) -> tuple[list[np.ndarray], int]:
     """For each block the sum over clusters ``_g`` of S S', S a cluster's score sum; and the number of clusters.
 
-    Each batch sends one row for each of its clusters, so a cluster that holds most rows moves no more than others; sums go in a fixed order.
+    Each partition adds up its clusters before it sends them, PENDING sums at a time, so a cluster that holds most rows moves
+    no more than others; sums go in a fixed order.
     """
 
+    frame = design.numbers
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for seq, b in enumerate(batches):
-            s = np.hstack(score(matrix(b)))
-            codes = b.column(b.schema.get_field_index("_g")).dictionary_encode()
-            total = np.zeros((len(codes.dictionary), s.shape[1]))
-            np.add.at(total, np.asarray(codes.indices), s)
-            n = len(total)
-            yield pa.RecordBatch.from_arrays([codes.dictionary, pa.array(np.full(n, part)), pa.array(np.full(n, seq)), pa.array([x.tobytes() for x in total], pa.binary())], names=["g", "part", "seq", "s"])
+        task = TaskContext.get()  # none on the driver
+        part, seq, keys, sums = task.partitionId() if task else 0, 0, pa.array([], pa.string()), np.zeros((0, sum(sizes)))
+
+        def added(g: pa.Array, s: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+            codes = g.dictionary_encode()
+            at, n = np.asarray(codes.indices), len(codes.dictionary)
+            return codes.dictionary, np.column_stack([np.bincount(at, s[:, j], n) for j in range(s.shape[1])]) if n else s[:0]
+
+        def out() -> pa.RecordBatch:
+            n = len(sums)
+            return pa.RecordBatch.from_arrays([keys, pa.array(np.full(n, part)), pa.array(np.full(n, seq)), pa.array([x.tobytes() for x in sums], pa.binary())], names=["g", "part", "seq", "s"])
+
+        for b in batches:
+            g, s = added(b.column(b.schema.get_field_index("_g")), np.hstack(score(matrix(b))))
+            keys, sums = added(pa.concat_arrays([keys, g]), np.vstack([sums, s]))
+            if len(sums) > PENDING:
+                yield out()
+                seq, keys, sums = seq + 1, keys[:0], sums[:0]
+        yield out()
 
     bounds = np.r_[0, np.cumsum(sizes)]
 
@@ -177,6 +192,11 @@ def cluster_products(frame: DataFrame, parts: int, score: Callable[[np.ndarray],
         return {"open": None, "sum": None, "groups": a["groups"] + b["groups"], "out": [x + y for x, y in zip(a["out"], b["out"], strict=True)]}
 
     start = lambda: {"open": None, "sum": None, "groups": 0, "out": [np.zeros((k, k)) for k in sizes]}
+    if design.near is not None:
+        near = pa.Table.from_batches(partial(design.near.select(frame.columns).to_batches(max_chunksize=10_000)))
+        state = fold_here(near.sort_by([(c, "ascending") for c in ("g", "part", "seq")]).select(["g", "s"]), start, step)
+        close(state)
+        return state["out"], state["groups"]
     sums = frame.mapInArrow(partial, "g string, part long, seq long, s binary").repartition("g").sortWithinPartitions("g", "part", "seq").select("g", "s")
     state = fold(sums, int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), start, step, merge)
     close(state)
@@ -233,15 +253,47 @@ def lag_products(design: Design, blocks: list[Block], lags: int) -> list[np.ndar
 
     empty = np.zeros((0, width))
     start = lambda: {"out": [np.zeros((k, k)) for k in sizes], "head": empty, "tail": empty, "n": 0}
-    parts = int(design.df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if design.time else design.parts
-    return fold(design.ordered(), parts, start, step, merge)["out"]
+    return design.fold_ordered(start, step, merge)["out"]
 
 
 def block_products(design: Design, blocks: list[Block], kind: str, lags: int = 0) -> tuple[list[np.ndarray], int | None]:
     """Score products of any kind: (one matrix for each block, number of clusters where it matters)."""
     if kind == "cluster":
         p, weighted = len(design.columns), bool(design.weight)
-        return cluster_products(design.numbers, design.parts, lambda m: scores(with_const(m, p, weighted), blocks), [b.shape[1] for b, _ in blocks])
+        return cluster_products(design, lambda m: scores(with_const(m, p, weighted), blocks), [b.shape[1] for b, _ in blocks])
     if kind == "hac":
         return lag_products(design, blocks, lags), None
     return products(design, blocks, kind), None
+
+
+def medians(design: Design) -> np.ndarray:
+    """The exact median of each column, by radix selection: counts of the next 16 bits below a known prefix, one pass for each of four."""
+    p = len(design.columns)
+    sign, digit = np.uint64(1 << 63), 1 << 16
+
+    def ordered(m: np.ndarray) -> np.ndarray:
+        """Unsigned integers in the order of the doubles (-0.0 as 0.0)."""
+        u = (m + 0.0).view(np.uint64)
+        return np.where(u & sign, ~u, u | sign)
+
+    prefix, rank = np.zeros((p, 2), np.uint64), None
+    for shift in (48, 32, 16, 0):
+
+        def step(s: np.ndarray, m: np.ndarray, _, shift=shift, prefix=prefix) -> np.ndarray:
+            for j in range(p):
+                u = ordered(np.ascontiguousarray(m[:, j]))
+                for side in (0, 1):
+                    own = u if shift == 48 else u[u >> np.uint64(shift + 16) == prefix[j, side]]
+                    s[j, side] += np.bincount((own >> np.uint64(shift) & np.uint64(digit - 1)).astype(np.int64), minlength=digit)
+            return s
+
+        counts = design.fold(lambda: np.zeros((p, 2, digit), np.int64), step, np.add)
+        if rank is None:
+            n = int(counts[0, 0].sum())
+            rank = np.tile([(n - 1) // 2, n // 2], (p, 1))  # the two places in the middle
+        upto = np.cumsum(counts, axis=2)
+        at = (upto <= rank[..., None]).sum(axis=2)
+        rank = rank - np.where(at > 0, np.take_along_axis(upto, np.maximum(at - 1, 0)[..., None], 2)[..., 0], 0)
+        prefix = prefix << np.uint64(16) | at.astype(np.uint64)
+    values = np.where(prefix & sign, prefix ^ sign, ~prefix).view(np.float64)
+    return values.mean(axis=1)

@@ -108,13 +108,19 @@ def no_const(x: list[str], intercept: bool) -> None:
 
 
 def no_overlap(roles: list[tuple[str, str | list[str]]]) -> None:
-    """No column in two roles. Where a role of one column meets a list, the single one is what the message is about; else the later role."""
-    for i, (name, value) in enumerate(roles):
-        for other, earlier in roles[:i]:
-            mine = [value] if isinstance(value, str) else value
-            theirs = [earlier] if isinstance(earlier, str) else earlier
-            for c in (c for c in mine if c in theirs):
-                subject, thing, how = (name, other, "also included in") if not isinstance(earlier, str) else (name, other, "also specified as")
-                if isinstance(earlier, str) and not isinstance(value, str):
-                    subject, thing, how = other, name, "also included in"
-                raise ValidationError(f"the column '{c}' specified as {subject} is {how} {thing}")
+    """No column in two roles: the first column, in the order of the roles, that a role shares with an earlier one is named."""
+    single = {name for name, value in roles if isinstance(value, str)}
+    role_of: dict[str, str] = {}
+    for name, value in roles:
+        columns = [value] if isinstance(value, str) else value
+        clash = min((c for c in columns if c in role_of), key=lambda c: [n for n, _ in roles].index(role_of[c]), default=None)
+        if clash is not None:
+            raise ValidationError(_two_roles(clash, role_of[clash], name, single))
+        role_of |= dict.fromkeys(columns, name)
+
+
+def _two_roles(column: str, earlier: str, later: str, single: set[str]) -> str:
+    """The subject is the later role, unless the earlier one is a single column and the later one a list."""
+    if earlier in single and later not in single:
+        return f"the column '{column}' specified as {earlier} is also included in {later}"
+    return f"the column '{column}' specified as {later} is also {'specified as' if earlier in single else 'included in'} {earlier}"

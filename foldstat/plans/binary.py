@@ -19,8 +19,7 @@ from ..errors import ComputationError, ValidationError
 from ..functions import links
 from ..functions.distributions import chi2_sf, norm_ppf, norm_sf2
 from ..functions.linalg import spd_inverse
-from ..operators.fold import fold
-from ..operators.passes import cluster_products, totals
+from ..operators.passes import cluster_products, medians, totals
 from ..sources.design import Design, number
 from .linear import Coefficients, Table, canonical, linear_form, required_cluster
 from .regression import count_clusters, enough, inference
@@ -79,11 +78,10 @@ class BinaryResults(Coefficients):
                 f1, f2 = link.slopes(x @ b)
                 return s[0] + len(m), s[1] + f1.sum(), s[2] + f2 @ x
 
-            n, w, s = fold(design.numbers, design.parts, lambda: (0, 0.0, np.zeros(len(b))), step, lambda a, c: tuple(x + y for x, y in zip(a, c, strict=True)))
+            n, w, s = design.fold(lambda: (0, 0.0, np.zeros(len(b))), step, lambda a, c: tuple(x + y for x, y in zip(a, c, strict=True)))
             w, s = w / n, s / n
         else:
-            how = F.avg if at == "mean" else F.median
-            point = design.numbers.agg(*[how(f"_{i}") for i in range(1, len(design.columns))]).first()
+            point = (medians(design) if at == "median" else totals(design, factor=False).mean)[1:]
             x = np.array([1.0] * const + [float(v) for v in point])
             f1, f2 = link.slopes(np.array([x @ b]))
             w, s = float(f1[0]), float(f2[0]) * x
@@ -121,12 +119,12 @@ def _fit(out: BinaryResults, df: DataFrame, y: str, x: list[str], opt: o.LogitOp
     kind, const, link = canonical(given), int(opt.include_intercept), out._link
     cluster = opt.cluster_col if kind == "cluster" else None
     design = Design(df, [y, *x], cluster=cluster)
-    t = totals(design, binary=True, factor=False)
     level = o.level(opt.confidence_level)
     if opt.max_iter <= 0:
         raise ValidationError(f"max_iter must be a positive integer, got {opt.max_iter}")
     if opt.tol <= 0:
         raise ValidationError(f"tol must be a positive number, got {opt.tol}")
+    t = totals(design, binary=True, factor=False)
     if t.not_binary:
         raise ValidationError(f"y must be coded as 0.0 or 1.0 (binary outcome); {t.not_binary} value(s) are not")
     n, k = t.n, len(x) + const
@@ -134,7 +132,8 @@ def _fit(out: BinaryResults, df: DataFrame, y: str, x: list[str], opt: o.LogitOp
     required_cluster(kind, cluster)
     scale = np.sqrt(t.square[1:] / n)
     scale = np.r_[np.ones(const), np.where(scale > 0, scale, 1.0)]
-    design.cached = design.numbers.persist(StorageLevel.MEMORY_AND_DISK)
+    if design.near is None:
+        design.cached = design.numbers.persist(StorageLevel.MEMORY_AND_DISK)
     try:
 
         def evaluate(thetas: list[np.ndarray]) -> list[Point]:
@@ -146,7 +145,7 @@ def _fit(out: BinaryResults, df: DataFrame, y: str, x: list[str], opt: o.LogitOp
                 return s
 
             start = lambda: [(0.0, np.zeros(k), np.zeros((k, k))) for _ in thetas]
-            done = fold(design.numbers, design.parts, start, step, lambda a, b: [tuple(p + q for p, q in zip(u, v, strict=True)) for u, v in zip(a, b, strict=True)])
+            done = design.fold(start, step, lambda a, b: [tuple(p + q for p, q in zip(u, v, strict=True)) for u, v in zip(a, b, strict=True)])
             return [Point(theta, float(v), g, h) for theta, (v, g, h) in zip(thetas, done, strict=True)]
 
         at, converged, steps = SOLVERS[method](evaluate, np.zeros(k), opt.max_iter, opt.tol)
@@ -156,7 +155,8 @@ def _fit(out: BinaryResults, df: DataFrame, y: str, x: list[str], opt: o.LogitOp
             raise ComputationError(f"failed to converge after {steps} iterations. Set raise_on_non_convergence=False to receive the result anyway, or increase max_iter")
         v, groups = _covariance(design, link, at, scale, const, kind, n)
     finally:
-        design.cached.unpersist()
+        if design.cached is not None:
+            design.cached.unpersist()
         design.cached = None
     b, v = at.theta / scale, v / np.outer(scale, scale)
     out._fill(df.sparkSession, ["const"] * const + x, b, v, inference(b, v, level, None))
@@ -183,12 +183,12 @@ def _covariance(design: Design, link, at: Point, scale: np.ndarray, const: int,
         return [z_x * link.terms(m[:, 0], z_x @ at.theta)[1][:, None]]
 
     if kind in ("opg", "hc0", "hc1"):
-        outer = fold(design.numbers, design.parts, lambda: np.zeros((k, k)), lambda s, m, _: s + (x := score(m)[0]).T @ x, lambda a, b: a + b)
+        outer = design.fold(lambda: np.zeros((k, k)), lambda s, m, _: s + (x := score(m)[0]).T @ x, lambda a, b: a + b)
         if kind == "opg":
             return spd_inverse(outer, _OPG), None
         factor, groups = (n / (n - k) if kind == "hc1" else 1.0), None
     elif kind == "cluster":
-        (outer,), groups = cluster_products(design.numbers, design.parts, score, [k])
+        (outer,), groups = cluster_products(design, score, [k])
         count_clusters(groups)
         factor = groups / (groups - 1) * (n - 1) / (n - k)
     bread = spd_inverse(at.hessian, SINGULAR)

@@ -14,7 +14,7 @@ from ..functions.linalg import spd_inverse, wald
 from ..operators.passes import block_products, totals
 from ..sources.design import Design, number
 from .linear import Coefficients, OlsResults, _describe, canonical, linear_form, required_cluster
-from .regression import Cov, Fit, covariances, enough, f_test, inference, lags_for, least_squares, unit
+from .regression import Cov, Fit, count_clusters, covariances, enough, f_test, inference, lags_for, least_squares, unit
 
 
 class IvResults(Coefficients):
@@ -134,7 +134,6 @@ def _prefixed(what: str, call):
 
 def _fit(p: _Problem) -> IvResults:
     opt = p.opt
-    p.t = totals(p.design)
     level = o.level(opt.confidence_level)
     if p.method == "gmm":
         if opt.gmm_iterations < 1:
@@ -143,9 +142,12 @@ def _fit(p: _Problem) -> IvResults:
             raise ValidationError(f"gmm_convergence must be a positive number, got {opt.gmm_convergence}")
         if p.weights == "cluster" and p.cluster is None:
             raise ValidationError("cov_type='cluster' requires cluster identifiers to be provided")
-        if p.weights == "kernel":
-            lags_for(opt.hac_lags, p.t.n)
     required_cluster(p.kind, p.cluster)
+    p.t = totals(p.design)
+    if p.weights == "kernel":
+        lags_for(opt.hac_lags, p.t.n)
+    if p.weights == "cluster" and opt.gmm_iterations == 1 and p.kind != "cluster":  # no later pass would count them
+        count_clusters(p.design.frame.select("_g").distinct().limit(2).count())
     n, z = p.t.n, p.basis(p.z_at)
     enough(n, len(p.x_at))
 

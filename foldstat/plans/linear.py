@@ -131,8 +131,8 @@ def _fit(df: DataFrame, y: str, x: list[str], weight: str | None, opt: o.OLSOpti
     kind = canonical(given)
     cluster = opt.cluster_col if kind == "cluster" else None
     design = Design(df, [y, *x], weight, opt.time_col if kind == "hac" else None, cluster, tuple(opt.tie_cols) if kind == "hac" and opt.time_col else ())
-    t = totals(design)
     level = o.level(opt.confidence_level)
+    t = totals(design)
     size = len(x) + 2
     basis = unit(size, *([0] if opt.include_intercept else []), *range(2, size))
     enough(t.n, basis.shape[1])
