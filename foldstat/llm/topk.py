@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import scratch_path, stored
 
 BINS = 128
 
@@ -106,7 +106,7 @@ def _kth_scores(candidates: DataFrame, block: _Block, k: int, reach: np.ndarray)
 
         shape = "q long, counts binary"
         total = np.zeros((n, BINS), np.int64)  # at most `block` rows come back, one for each query
-        for row in candidates.mapInArrow(count, shape).repartition("q").mapInArrow(add, shape).toLocalIterator():
+        for row in candidates.mapInArrow(count, shape).repartition("q").mapInArrow(add, shape).collect():
             total[row.q] = np.frombuffer(row.counts, np.int64)
         down = np.cumsum(total[:, ::-1], axis=1)  # from the best bin down
         reached = down + above[:, None] >= k
@@ -130,8 +130,10 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, block: i
     out = None
     if top.width and count:
         blocks = max(1, -(-count * 5 // (4 * block)))
-        # Rows are distinct, so hashing spreads them; a block gets about 4/5 of what it may hold.
-        placed = stored(queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks))), "queries")
+        # Rows are distinct, so hashing spreads them; a block gets about 4/5 of what it may hold. Blocks are folders, and so are their results.
+        placed, results = scratch_path(spark, "queries"), scratch_path(spark, "best")
+        queries.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks))).repartition("block").write.partitionBy("block").parquet(placed)
+        placed = spark.read.parquet(placed)
         for number in range(blocks):
             rows = placed.filter(F.col("block") == number).select("vec_id", "v").toArrow()
             if not rows.num_rows:
@@ -145,10 +147,11 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, block: i
             made = _Block(ids, q, float(np.abs(q).max() if q.size else 0) * max(top.norm, 1.0) * width < 2**53)
             order = np.argsort(ids, kind="stable")
             kth, places = _kth_scores(candidates, made, k, reach.astype(np.int64)[order])
-            part = _best(candidates, spark.sparkContext.broadcast(made), kth, places, number)
-            out = part if out is None else out.unionByName(part)
+            _best(candidates, spark.sparkContext.broadcast(made), kth, places, number).write.parquet(f"{results}/{number}")
+            out = results
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    out = spark.read.schema("block long, q long, query_id long, vec_id long, score long").parquet(f"{results}/*")
     each = Window.partitionBy("block", "q").orderBy(F.desc("score"), "vec_id")
     ranked = out.withColumn("rank", F.row_number().over(each)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
@@ -157,7 +160,15 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 20, block: i
 def _best(candidates: DataFrame, shared, kth: np.ndarray, places: np.ndarray, number: int) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
-        ties: dict[int, list[int]] = {}
+        ties, held = [], 0
+
+        def least() -> tuple[np.ndarray, np.ndarray]:
+            """Of the ties so far, for each query the smallest ids that still have a place."""
+            q, v = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (zip(*ties, strict=True) if ties else ((), ())))
+            order = np.lexsort((v, q))
+            q, v = q[order], v[order]
+            some = np.arange(len(q)) - np.searchsorted(q, q) < places[q]
+            return q[some], v[some]
 
         def out(q, vec, score) -> pa.RecordBatch:
             q = np.asarray(q, np.int64)
@@ -168,15 +179,15 @@ def _best(candidates: DataFrame, shared, kth: np.ndarray, places: np.ndarray, nu
             i, j = np.nonzero((s > t) & ~own)
             if len(i):
                 yield out(i + first, ids[j], s[i, j])
-            for a, b in zip(*(x.tolist() for x in np.nonzero((s == t) & ~own)), strict=True):
-                own_ties = ties.setdefault(a + first, [])
-                own_ties.append(int(ids[b]))
-                if len(own_ties) > 4 * places[a + first] + 64:
-                    own_ties.sort()
-                    del own_ties[int(places[a + first]) :]
-        flat = [(q, v) for q, own_ties in ties.items() for v in sorted(own_ties)[: int(places[q])]]
-        if flat:
-            q, v = (np.array(x, np.int64) for x in zip(*flat, strict=True))
+            i, j = np.nonzero((s == t) & ~own)
+            if len(i):
+                ties.append((i + first, ids[j]))
+                held += len(i)
+                if held > 1 << 20:
+                    ties = [least()]
+                    held = 0
+        q, v = least()
+        if len(q):
             yield out(q, v, kth[q])
 
     return candidates.mapInArrow(keep, "block long, q long, query_id long, vec_id long, score long")
