@@ -12,7 +12,8 @@ the end is a walk over the table.
 prefixes themselves, so that a piece costs only the prefixes no other piece has had.
 Tables and memos are bounded; their bounds change speed only.
 
-Defined results: a null text counts as empty, an empty text has no ids. Special tokens
+Defined results: a null text counts as empty, an empty text has no ids, a long one is encoded
+whole. Repeated rows give repeated rows; further columns of any name are ignored. Special tokens
 do not exist here: their strings are ordinary text.
 """
 

@@ -11,7 +11,7 @@ control string. A newline inside a role becomes backslash and n.
 
 Defined results: rows of a conversation go by turn, a null turn first, ties by role
 and text; a null text or role counts as empty. Rows with a null conv_id form one
-conversation. A repeated row is a further turn. An empty table gives no conversation.
+conversation. A repeated row is a further turn. Further columns of any name are ignored. An empty table gives no conversation.
 A task holds one conversation at a time, whatever the number of its partition's rows.
 """
 

@@ -209,7 +209,8 @@ def small_batches(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Ite
 
 
 def give_back() -> None:
-    """Return freed memory to the system at the end of a partition: a worker that waits for its next task should hold little."""
+    """Return memory to the system at the end of a partition: a worker that waits for its next task should hold little."""
+    _POWERS.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

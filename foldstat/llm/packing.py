@@ -17,7 +17,8 @@ no length, however common, meets in one task.
 
 Defined results: a null text counts as empty and gives one piece of the end id alone.
 Only documents longer than ``capacity`` ids are cut, every ``capacity`` ids. Rows of
-one doc_id are packed apart. An empty table gives no sequence.
+one doc_id are packed apart. A long text is encoded whole, in the memory of its ids. An empty
+table gives no sequence. Further columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -141,6 +142,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, ids
             if ids:
                 out["ids"] = pa.ListArray.from_arrays(pa.array(np.r_[at, len(flat)].astype(np.int32)), pa.array(flat.astype(np.int64)))
             yield pa.RecordBatch.from_pydict(out)
+        encoder.forget()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, rank long" + ", ids array<long>" * ids)

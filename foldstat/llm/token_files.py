@@ -56,6 +56,7 @@ def write_token_files(
             data = pa.py_buffer(ids.astype(kind))
             packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(offsets * width), data]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), packed], names=["doc_id", "h", "ids"])
+        encoder.forget()
 
     # Texts stay where they are read: what is stored once, sampled for the ranges and shuffled are ids.
     encoded = stored(rows.mapInArrow(encode, "doc_id long, h long, ids binary"), "encoded")

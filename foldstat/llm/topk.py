@@ -16,7 +16,8 @@ Defined results: vectors that are null, empty or hold null or non-finite compone
 no part, nor do rows with a null id. A shorter vector counts as filled up with zeros.
 Repeated rows (same id and vector) are one vector; one id with different vectors is
 several candidates, and as several queries gives several lists. A query's own id is no
-candidate of it. With fewer than k candidates all are returned. Empty in, empty out.
+candidate of it. With fewer than k candidates all are returned. Empty in, empty out. Further
+columns of any name are ignored.
 """
 
 from __future__ import annotations

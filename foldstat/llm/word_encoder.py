@@ -23,7 +23,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from .common import SPACE, text_buffer, word_spans
+from .common import SPACE, give_back, text_buffer, word_spans
 from .ragged import Lists
 
 #: Chunks of a generation remembered at most, and half the pieces of chunks.
@@ -86,6 +86,12 @@ class WordEncoder:
                 out.append([i for piece in own for i in pieces[piece]])
         return out
 
+    def forget(self) -> None:
+        """Give the memory back. Workers outlive their tasks, and what one stage leaves in them is missing in the next."""
+        self.pieces.clear()
+        self.chunks = Lists("I", self._learnt, MEMO)
+        give_back()
+
     def encode(self, texts: pa.Array | list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn as uint32, offsets of the texts among them); ``end`` is appended to each."""
         self.chunks.turn()
