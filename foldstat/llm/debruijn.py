@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import dropped, ending, evenly_joined, stored
 
 
-def _lists(column: pa.Array) -> Iterator[list[np.ndarray]]:
-    """The fields of a list of structs of integers, as arrays, row by row."""
+def lists_of(column: pa.Array) -> Iterator[list[np.ndarray]]:
+    """The fields of a column of lists of structs of integers, as arrays, row by row; a null list is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat, at = column.flatten(), np.r_[0, np.cumsum(np.asarray(column.value_lengths().fill_null(0)))]
@@ -51,7 +51,7 @@ def nodes(blocks: DataFrame, asked_: DataFrame, words_of, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in ending(batches):
-            for block, payload, (word, n) in zip(b.column(0).to_pylist(), b.column(1), _lists(b.column(2)), strict=True):
+            for block, payload, (word, n) in zip(b.column(0).to_pylist(), b.column(1), lists_of(b.column(2)), strict=True):
                 w = words_of(payload.as_buffer())
                 change = np.zeros(w.n + 2, np.int64)
                 np.add.at(change, word, 1)
@@ -71,7 +71,7 @@ def nodes(blocks: DataFrame, asked_: DataFrame, words_of, k: int) -> DataFrame:
 def pieces(nodes_: DataFrame) -> DataFrame:
     """(block, word, n, tail, head): source runs of n edges without a branching node inside; tail and head are their end nodes, null where those branch."""
     degrees = nodes_.groupBy("node").agg(F.sum("ins").alias("in_degree"), F.sum("outs").alias("out_degree"), F.count(F.lit(1)).alias("many"))
-    branching = degrees.filter("in_degree > 1 or out_degree > 1").select("node", "many", F.lit(True).alias("branching"))
+    branching = stored(degrees.filter("in_degree > 1 or out_degree > 1").select("node", "many", F.lit(True).alias("branching")), "branching")
     marked = evenly_joined(nodes_, branching, ["node"], ["block", "at"], nodes_.count(), "left")
     ends = marked.filter("branching is not null or ins = 0 or outs = 0").withColumn("joint", F.when(F.col("branching").isNull(), F.col("node")))
     along = Window.partitionBy("block").orderBy("at")  # a block has a bounded number of words
@@ -118,7 +118,7 @@ def stretches(asked_: DataFrame, paths_: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in ending(batches):
-            for block, (word, n, many), (start, size, path, at) in zip(b.column(0).to_pylist(), _lists(b.column(1)), _lists(b.column(2)), strict=True):
+            for block, (word, n, many), (start, size, path, at) in zip(b.column(0).to_pylist(), lists_of(b.column(1)), lists_of(b.column(2)), strict=True):
                 order = np.argsort(start)
                 start, size, path, at = start[order], size[order], path[order], at[order]
                 first, last = np.searchsorted(start, word, "right") - 1, np.searchsorted(start, word + n, "left")

@@ -48,6 +48,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from . import debruijn
+from .debruijn import lists_of
 from .common import SpanHasher, bound_batches, bucketed, dropped, ending, small_batches, stored, text_buffer, unused, word_spans
 
 #: Bytes of the documents of a block.
@@ -317,22 +318,26 @@ def _removal(blocks: DataFrame, later: DataFrame, sources_: DataFrame, schema: S
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in ending(batches):
-            for payload, later_, asked_ in zip(b.column(1), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for payload, later_, asked_ in zip(b.column(1), lists_of(b.column(2)), lists_of(b.column(3)), strict=True):
                 rows = _opened(payload.as_buffer())
                 w = _Words(rows.column(text_col), k, seed)
                 joined, starts, ends = w.joined()
                 change = np.zeros(w.n + 1, np.int64)
-                seen: dict[tuple, bytes] = {}
-                for r in later_ or []:
-                    size = r["n"] + k - 1
-                    change[r["word"]] += 1
-                    change[r["word"] + size] -= 1
-                for r in [*(later_ or []), *(asked_ or [])]:
-                    key = (r["path"], r["at"], r["n"])
-                    digest = hashlib.sha256(joined[starts[r["word"]] : ends[r["word"] + r["n"] + k - 2]]).digest()
-                    if seen.setdefault(key, digest) != digest:
-                        seen[key] = b"differs"
-                checks = list(seen.items())
+                np.add.at(change, later_[0], 1)
+                np.add.at(change, later_[0] + later_[1] + k - 1, -1)
+                word, n, path, at = (np.concatenate(x) for x in zip(later_, asked_, strict=True))
+                # Equal stretches stand together; each is hashed, and a block sends one digest for all of them.
+                order = np.lexsort((n, at, path))
+                word, n, path, at = word[order], n[order], path[order], at[order]
+                sha = hashlib.sha256
+                digests = np.frombuffer(b"".join([sha(joined[s:e]).digest() for s, e in zip(starts[word].tolist(), ends[word + n + k - 2].tolist(), strict=True)]), "<u8").reshape(-1, 4)
+                fresh = np.r_[True, (path[1:] != path[:-1]) | (at[1:] != at[:-1]) | (n[1:] != n[:-1])] if len(word) else np.zeros(0, bool)
+                first = np.flatnonzero(fresh)
+                differs = (digests != digests[first[np.cumsum(fresh) - 1]]).any(axis=1) if len(word) else fresh
+                sent = [digests[i].tobytes() for i in first.tolist()]
+                for i in np.unique(np.searchsorted(first, np.flatnonzero(differs), "right") - 1).tolist():
+                    sent[i] = b"differs"
+                found = {path_: path[first], at_: at[first], n_: n[first], digest_: sent}
                 gone = np.cumsum(change)[:-1] > 0
                 # Runs of kept words of one document, as pieces of the joined text.
                 kept = ~gone
@@ -344,21 +349,19 @@ def _removal(blocks: DataFrame, later: DataFrame, sources_: DataFrame, schema: S
                 total = np.concatenate([[0], np.cumsum(gone)])
                 removed = total[w.first[1:]] - total[w.first[:-1]]
                 text = rows.column(text_col)
-                fresh, shas = [], []
+                texts, shas = [], []
                 for i in range(rows.num_rows):
                     body = b" ".join([joined[s:e] for s, e in spans[bounds[i] : bounds[i + 1]]])
                     shas.append(hashlib.sha256(body).hexdigest())
                     if with_text:
-                        fresh.append(body.decode("utf-8", "surrogatepass") if removed[i] else text[i].as_py())
+                        texts.append(body.decode("utf-8", "surrogatepass") if removed[i] else text[i].as_py())
                 columns = dict(zip(rows.schema.names, rows.columns, strict=True))
                 if with_text:
-                    columns[text_col] = pa.array(fresh, pa.string())
-                n = rows.num_rows
+                    columns[text_col] = pa.array(texts, pa.string())
                 columns |= {counts_: pa.array(counts), removed_: pa.array(removed), kept_: pa.array(shas, pa.string())}
-                yield pa.RecordBatch.from_arrays([columns[f].cast(arrow.field(f).type) if f in columns else pa.nulls(n, arrow.field(f).type) for f in names], schema=arrow)
-                if checks:
-                    found = {path_: [c[0][0] for c in checks], at_: [c[0][1] for c in checks], n_: [c[0][2] for c in checks], digest_: [c[1] for c in checks]}
-                    yield pa.RecordBatch.from_arrays([pa.array(found[f], arrow.field(f).type) if f in found else pa.nulls(len(checks), arrow.field(f).type) for f in names], schema=arrow)
+                yield pa.RecordBatch.from_arrays([columns[f].cast(arrow.field(f).type) if f in columns else pa.nulls(rows.num_rows, arrow.field(f).type) for f in names], schema=arrow)
+                if sent:
+                    yield pa.RecordBatch.from_arrays([pa.array(found[f], arrow.field(f).type) if f in found else pa.nulls(len(sent), arrow.field(f).type) for f in names], schema=arrow)
 
     return joined.mapInArrow(remove, schema)
 
