@@ -11,6 +11,10 @@ from ..errors import ComputationError
 from ..functions.linalg import require_full_rank
 
 SINGULAR = "the Hessian is singular and cannot be inverted"
+#: What rounding may add to a sum of log-likelihoods, relative to it: values that are as near tell nothing about a step.
+NOISE = 1e-12
+#: A Newton step of this size, relative to coefficients of 1 or more, changes nothing that doubles could still show.
+SETTLED = 1e-14
 
 
 @dataclass
@@ -38,16 +42,34 @@ def newton(evaluate: Evaluate, start: np.ndarray, max_iter: int, tol: float) ->
     return at, False, max_iter
 
 
+def _settled(at: Point, tol: float) -> bool:
+    """Whether the gradient vanishes, or what is left of it moves no coefficient: summed over very many rows, its rounding alone exceeds any fixed ``tol``."""
+    if np.linalg.norm(at.gradient) < tol:
+        return True
+    try:
+        return bool(np.linalg.norm(np.linalg.solve(at.hessian, at.gradient)) <= SETTLED * max(1.0, np.linalg.norm(at.theta)))
+    except np.linalg.LinAlgError:
+        return False
+
+
 def _search(evaluate: Evaluate, at: Point, direction: np.ndarray) -> Point:
-    """A step that meets the strong Wolfe conditions, or the best decrease found."""
-    slope = float(at.gradient @ direction)
+    """A step that meets the strong Wolfe conditions, or the best decrease found.
+
+    Near the optimum a decrease is less than the rounding of the sum. Where values are that near, the slopes decide
+    (the approximate Wolfe conditions): they keep their digits, and the functions are convex.
+    """
+    slope, room = float(at.gradient @ direction), NOISE * abs(at.value)
     steps, best = [1.0, 0.5, 0.25, 2.0, 4.0], None
     for _ in range(12):
         tried = list(zip(steps, evaluate([at.theta + s * direction for s in steps]), strict=True))
-        good = [(s, x) for s, x in tried if np.isfinite(x.value) and x.value <= at.value + 1e-4 * s * slope]
-        for _s, x in good:
-            if abs(float(x.gradient @ direction)) <= 0.9 * abs(slope):
+        slopes = [float(x.gradient @ direction) for _, x in tried]
+        flat = [abs(g) <= 0.9 * abs(slope) for g in slopes]
+        near = [np.isfinite(x.value) and abs(x.value - at.value) <= room and (f or g <= 0) for (_, x), g, f in zip(tried, slopes, flat, strict=True)]
+        fits = [c or (np.isfinite(x.value) and x.value <= at.value + 1e-4 * s * slope) for (s, x), c in zip(tried, near, strict=True)]
+        for (_s, x), ok, f in zip(tried, fits, flat, strict=True):
+            if ok and f:
                 return x
+        good = [t for t, ok in zip(tried, fits, strict=True) if ok]
         if good:
             best = min((x for _, x in good), key=lambda x: x.value)
             top = max(s for s, _ in good)
@@ -64,7 +86,7 @@ def _search(evaluate: Evaluate, at: Point, direction: np.ndarray) -> Point:
 def bfgs(evaluate: Evaluate, start: np.ndarray, max_iter: int, tol: float) -> tuple[Point, bool, int]:
     at, inverse = evaluate([start])[0], np.eye(len(start))
     for i in range(max_iter):
-        if np.linalg.norm(at.gradient) < tol:
+        if _settled(at, tol):
             return at, True, i
         fresh = _search(evaluate, at, -inverse @ at.gradient)
         s, g = fresh.theta - at.theta, fresh.gradient - at.gradient
@@ -76,13 +98,13 @@ def bfgs(evaluate: Evaluate, start: np.ndarray, max_iter: int, tol: float) -> tu
             left = np.eye(len(s)) - np.outer(s, g) / (s @ g)
             inverse = left @ inverse @ left.T + np.outer(s, s) / (s @ g)
         at = fresh
-    return at, bool(np.linalg.norm(at.gradient) < tol), max_iter
+    return at, _settled(at, tol), max_iter
 
 
 def lbfgs(evaluate: Evaluate, start: np.ndarray, max_iter: int, tol: float, memory: int = 7) -> tuple[Point, bool, int]:
     at, pairs = evaluate([start])[0], []
     for i in range(max_iter):
-        if np.linalg.norm(at.gradient) < tol:
+        if _settled(at, tol):
             return at, True, i
         q, shares = at.gradient.copy(), []
         for s, g in reversed(pairs):
@@ -101,7 +123,7 @@ def lbfgs(evaluate: Evaluate, start: np.ndarray, max_iter: int, tol: float, memo
         if s @ g > 1e-300:
             pairs = [*pairs, (s, g)][-memory:]
         at = fresh
-    return at, bool(np.linalg.norm(at.gradient) < tol), max_iter
+    return at, _settled(at, tol), max_iter
 
 
 SOLVERS = {"newton": newton, "bfgs": bfgs, "lbfgs": lbfgs}
