@@ -1,4 +1,4 @@
-"""Near-dedup by the exact Jaccard similarity of word shingles.
+"""Near-dedup by bit-sliced SimHash and the exact Jaccard similarity of word shingles.
 
 Two texts are linked when the sets of their shingles have a Jaccard similarity of at least
 ``similarity``, a fraction of whole numbers; components are taken over all links. No pair is
@@ -10,10 +10,13 @@ do in shingles, and then, where these allow the similarity, on their whole sets.
 
 Any order gives the same links. Shingles that many texts share come last in it, so that a
 common line brings no texts together; the counts for it are of a quarter of the texts and
-serve for cost alone. Texts that meet are first compared with a leader of each shingle, so that a
-group of copies is settled by its leaders, not by all its pairs. Those that share a shingle and
-are in different components still are compared by sizes and folded parities inside tasks, a chunk
-of a group with a chunk of it, and only pairs that these allow leave the tasks.
+serve for cost alone. Pairs that bit-sliced SimHash (``simhash``) links within RADIUS bits come first, and texts
+that meet are compared with a leader of each shingle, so that a group of copies is settled by these, not by all
+its pairs; on whole sets each such pair counts only if it is as similar. SimHash alone would lose most pairs of
+just that similarity, whose fingerprints differ in about nine bits; the shared shingles are the exact way for them. Those that share a shingle and
+are in different components still are compared inside tasks, a chunk of a group with a chunk of it:
+by sizes and folded parities, which leave groups of texts that may be linked, and then, within these groups,
+on whole sets. Tasks give forests, fewer pairs than rows, so no group of near copies makes a row for each pair.
 
 Shingles are 64-bit hashes, equal sets are one node under a hash of the set. Defined results:
 A-Z count as a-z; a null text counts as empty; texts without words are equal; a text of fewer
@@ -32,12 +35,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SpanHasher, binary_buffer, dropped, ending, evenly_joined, mixed, narrowed, small_batches, stored, text_buffer, word_spans
+from .common import SpanHasher, binary_buffer, dropped, ending, evenly_joined, mixed, narrowed, small_batches, stored, text_buffer, text_bytes, word_spans
 from .components import components
+from . import simhash
 from .simhash import CHUNK, labelled, only_least
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+#: Bits in which SimHashes may differ for their texts to be compared first.
+RADIUS = 3
 #: Shingles counted as common, at most.
 COMMON = 50_000
 #: Rows of the counted quarter that make a shingle common.
@@ -246,41 +252,115 @@ def allowed(fp: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray, s
     return np.minimum(u, v), np.maximum(u, v)
 
 
-def _close(rest: DataFrame, nodes: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (u, v) of the stored rows (token, fp, n, root) with one token that ``allowed`` leaves."""
-    sizes = rest.groupBy("token").agg(F.count(F.lit(1)).alias("many")).filter(F.col("many") > CHUNK)
-    sizes = sizes.withColumn("chunks", F.ceil(F.col("many") / CHUNK).cast("int"))
-    dealt = evenly_joined(rest, sizes, ["token"], ["fp"], rest.count(), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+def forest(fp: np.ndarray, n: np.ndarray, root: np.ndarray, sets: list[np.ndarray], side: np.ndarray, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of one unit's rows, on whole sets, pairs as similar that join all of them that are (sides as in ``allowed``): fewer pairs than rows, however many are alike."""
+    p, q = similarity
+    label = np.unique(root, return_inverse=True)[1].reshape(-1)
+    words = np.unique(np.concatenate(sets), return_inverse=True)[1].reshape(-1)
+    ends = np.cumsum(n)
+    starts, mark = ends - n, np.zeros(int(words.max()) + 1, bool)
+    bits = np.zeros((len(fp), PLACES // 64), np.uint64)
+    for i, x in enumerate(sets):
+        bits[i] = np.packbits(np.bincount((x & np.uint64(PLACES - 1)).astype(np.int64), minlength=PLACES) & 1).view(np.uint64)
+    left = np.flatnonzero(side != 1)
+    right = left if side[0] == 2 else np.flatnonzero(side == 1)
+    u, v = [], []
+    for i in left.tolist():
+        j = right[right > i] if side[0] == 2 else right
+        j = j[(label[j] != label[i]) & (np.minimum(n[i], n[j]) * q >= np.maximum(n[i], n[j]) * p)]
+        j = j[np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) * (p + q) <= (n[j] + n[i]) * (q - p)]
+        if not len(j):
+            continue
+        own = words[starts[i] : ends[i]]
+        mark[own] = True
+        cuts = np.cumsum(n[j]) - n[j]
+        at = np.repeat(starts[j] - cuts, n[j]) + np.arange(int(n[j].sum()))
+        shared = np.add.reduceat(mark[words[at]].astype(np.int64), cuts)
+        mark[own] = False
+        j = j[shared * q >= p * (n[i] + n[j] - shared)]
+        met, first = np.unique(label[j], return_index=True)
+        if len(met):
+            u.append(np.repeat(fp[i], len(met)))
+            v.append(fp[j[first]])
+            label[np.isin(label, met)] = label[i]
+    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (u, v))
+    return np.minimum(u, v), np.maximum(u, v)
+
+
+def _units(batches: Iterator[pa.RecordBatch], columns, done) -> Iterator[pa.RecordBatch]:
+    """``done(lists of columns, starts of units with the end)`` of whole units; ``columns`` makes lists or arrays of a batch sorted by its first column, the unit."""
+    held = None
+    for b in ending(batches):
+        if not b.num_rows:
+            continue
+        fresh = columns(b)
+        held = fresh if held is None else [x + y if isinstance(x, list) else np.concatenate((x, y)) for x, y in zip(held, fresh, strict=True)]
+        cut = int(np.flatnonzero(np.r_[True, held[0][1:] != held[0][:-1]])[-1])  # the last unit may go on
+        if cut:
+            yield done([x[:cut] for x in held])
+            held = [x[cut:] for x in held]
+    if held is not None:
+        yield done(held)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The stored rows (token, fp, n, root) once for each unit, a chunk of a token's rows with a chunk of them: (unit, side, fp, n, root)."""
+    sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("words"))
+    sizes = sizes.withColumn("chunks", F.ceil(F.greatest(F.col("many") / CHUNK, F.col("words") / (CHUNK * PLACES))).cast("int")).filter("chunks > 1").drop("words")
+    dealt = evenly_joined(rows, sizes, ["token"], ["fp"], rows.count(), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    units = dealt.join(_folded(nodes), "fp").select(
+    return dealt.select(
         F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
         F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).cast("int").alias("side"),
-        "fp", F.col("n").cast("long").alias("n"), "root", "bits",
+        "fp", F.col("n").cast("long").alias("n"), "root",
     )
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
-            unit, side, fp, n, root, bits = columns
+
+def _close(rest: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """Edges (u, v) that join those of the stored rows (token, fp, n, root) with one token that are as similar.
+
+    Rows that sizes and parities leave a partner under some token form groups, the components of these pairs; within a group
+    whole sets are compared. Both times a unit gives a forest, so that nothing makes as many rows as it has pairs.
+    """
+
+    def numbers(b: pa.RecordBatch) -> list[np.ndarray]:
+        return [np.asarray(b.column(i)) for i in range(5)]
+
+    def with_bits(b: pa.RecordBatch) -> list[np.ndarray]:
+        return [*numbers(b), binary_buffer(b.column(5))[0].view(np.uint64).reshape(-1, PLACES // 64)]
+
+    def with_sets(b: pa.RecordBatch) -> list:
+        raw, at = binary_buffer(b.column(5))
+        return [*numbers(b), [np.frombuffer(raw[s:e].tobytes(), np.uint64) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]]
+
+    def possible(fp, n, root, bits, side) -> tuple[np.ndarray, np.ndarray]:
+        ids, pairs = np.unique(fp), allowed(fp, n, root, bits, side, similarity)
+        label = simhash._merge(np.arange(len(ids)), *(np.searchsorted(ids, x) for x in pairs))
+        some = np.flatnonzero(label != np.arange(len(ids)))
+        return ids[label[some]], ids[some]
+
+    def exact(fp, n, root, sets, side) -> tuple[np.ndarray, np.ndarray]:
+        return forest(fp, n, root, sets, side, similarity)
+
+    def edges(units: DataFrame, columns, compare) -> DataFrame:
+        def done(held: list) -> pa.RecordBatch:
+            unit, side, fp, n, root, own = held
             cuts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True]).tolist()
-            found = [allowed(fp[s:e], n[s:e], root[s:e], bits[s:e], side[s:e], similarity) for s, e in zip(cuts[:-1], cuts[1:], strict=True) if e - s > 1]
+            found = [compare(fp[s:e], n[s:e], root[s:e], own[s:e], side[s:e]) for s, e in zip(cuts[:-1], cuts[1:], strict=True) if e - s > 1]
             u, v = (np.concatenate([f[i] for f in found] or [np.zeros(0, np.int64)]) for i in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-        held = None
-        for b in ending(batches):
-            if not b.num_rows:
-                continue
-            raw, _ = binary_buffer(b.column(5))
-            fresh = [*(np.asarray(b.column(i)) for i in range(5)), raw.view(np.uint64).reshape(-1, PLACES // 64)]
-            held = fresh if held is None else [np.concatenate(x) for x in zip(held, fresh, strict=True)]
-            cut = int(np.flatnonzero(np.r_[True, held[0][1:] != held[0][:-1]])[-1])  # the last unit may go on
-            if cut:
-                yield pairs([x[:cut] for x in held])
-                held = [x[cut:] for x in held]
-        if held is not None:
-            yield pairs(held)
+        run = lambda batches: _units(batches, columns, done)
+        return units.repartition("unit").sortWithinPartitions("unit", "side", "fp").mapInArrow(run, "u long, v long").distinct()
 
-    return units.repartition("unit").sortWithinPartitions("unit", "side", "fp").mapInArrow(compare, "u long, v long")
+    near = stored(edges(_dealt(rest).join(_folded(nodes), "fp").select("unit", "side", "fp", "n", "root", "bits"), with_bits, possible), "possible")
+    groups = stored(components(near), "groups")
+    facts = rest.select("fp", "n", "root").distinct()
+    members = stored(groups.join(facts, groups["node"] == facts["fp"]).select(F.col("component").alias("token"), "fp", "n", "root"), "members")
+    sets = stored(_sets(rows, members.select("fp"), shingle), "sets")
+    out = stored(edges(_dealt(members).join(sets, "fp").select("unit", "side", "fp", "n", "root", "ids"), with_sets, exact), "links")
+    dropped(near, groups, members, sets)
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -296,8 +376,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) ->
     return _with_facts(pairs, one, other).select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _by_simhash(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes (fp, sim) that bit-sliced SimHash links: equal fingerprints with the least node of each, linked ones by these."""
+    leads = stored(nodes.groupBy("sim").agg(F.min("fp").alias("lead"), F.count(F.lit(1)).alias("many")), "leads")
+    equal = evenly_joined(nodes, leads, ["sim"], ["fp"], nodes.count()).select(F.col("fp").alias("u"), F.col("lead").alias("v"))
+    near = simhash.links(leads.select(F.col("sim").alias("fp")), RADIUS)
+    one, other = (leads.select(F.col("sim").alias(x), F.col("lead").alias("l" + x)) for x in "uv")
+    linked = near.join(one, "u").join(other, "v").select(F.col("lu").alias("u"), F.col("lv").alias("v"))
+    both = equal.unionByName(linked).filter("u <> v")
+    return both.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+
+
 def links(rows: DataFrame, nodes: DataFrame, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """Edges (u, v) that join exactly the sets as similar, transitively. rows: (doc_id, text); nodes: (fp, n, bits)."""
+    """Edges (u, v) that join exactly the sets as similar, transitively. rows: (doc_id, text); nodes: (fp, n, bits, sim)."""
     p, q = similarity
     fits = lambda x, y: F.least(x, y).cast("long") * q >= F.greatest(x, y).cast("long") * p
     met = stored(_met(rows, shingle, similarity), "met")
@@ -313,14 +404,14 @@ def links(rows: DataFrame, nodes: DataFrame, shingle: int, similarity: tuple[int
         return out
 
     led = met.filter((F.col("fp") != F.col("leader")) & fits("n", "leader_n"))
-    led = led.select(F.least("fp", "leader").alias("u"), F.greatest("fp", "leader").alias("v")).distinct()
-    first = linked(led)
+    led = led.select(F.least("fp", "leader").alias("u"), F.greatest("fp", "leader").alias("v"))
+    first = linked(_by_simhash(nodes.select("fp", "sim")).unionByName(led).distinct())
     found = stored(components(first), "components")
     named = met.join(found, met["fp"] == found["node"], "left").select("token", "fp", "n", F.coalesce("component", "fp").alias("root"))
     apart = named.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("many"))
     apart = apart.filter("lo <> hi and many > 2").select("token")  # of two, the leader has met the other
     rest = stored(named.join(apart, "token", "left_semi"), "rest")
-    second = linked(_close(rest, nodes, similarity).distinct())
+    second = _close(rest, rows, nodes, shingle, similarity)
     dropped(met, found, rest)
     return first.unionByName(second)
 
@@ -333,12 +424,13 @@ def near_dedup(docs: DataFrame, shingle: int = 5, similarity: tuple[int, int] =
         for b in small_batches(batches, 1 << 20):
             sets = shingles(b.column(1), shingle)
             fp = np.array([name_of(x) for x in sets], np.uint64).view(np.int64)
-            made = [b.column(0), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), pa.array([parities(x) for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "fp", "n", "bits"])
+            sim = np.array([simhash.fingerprint(x, shingle) for x in text_bytes(b.column(1))], np.uint64).view(np.int64)
+            made = [b.column(0), pa.array(fp), pa.array([len(x) for x in sets], pa.int32()), pa.array([parities(x) for x in sets], pa.binary()), pa.array(sim)]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "fp", "n", "bits", "sim"])
 
-    made = stored(rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, n int, bits binary"), "named")
-    nodes = stored(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many"), F.first("n").alias("n"), F.first("bits").alias("bits")), "nodes")
-    found = components(links(rows, nodes.select("fp", "n", "bits"), shingle, similarity))
+    made = stored(rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, n int, bits binary, sim long"), "named")
+    nodes = stored(made.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("sim").alias("sim")), "nodes")
+    found = components(links(rows, nodes.select("fp", "n", "bits", "sim"), shingle, similarity))
     return labelled(made.select("doc_id", "fp"), nodes.select("fp", "least", "many"), found)
 
 
