@@ -15,7 +15,7 @@ that meet are compared with a leader of each shingle, so that a group of copies
 its pairs; on whole sets each such pair counts only if it is as similar. SimHash alone would lose most pairs of
 just that similarity, whose fingerprints differ in about nine bits; the shared shingles are the exact way for them. Those that share a shingle and
 are in different components still are compared inside tasks, a chunk of a group with a chunk of it:
-by sizes and folded parities, which leave groups of texts that may be linked, and then, within these groups,
+by sizes and parities, which leave groups of texts that may be linked, and then, within these groups,
 on whole sets. Tasks give forests, fewer pairs than rows, so no group of near copies makes a row for each pair.
 
 Shingles are 64-bit hashes, equal sets are one node under a hash of the set. Defined results:
@@ -52,6 +52,8 @@ OFTEN = 4
 PLACES = 512
 #: Bits of the filter by which sets are fetched, at most.
 FILTER = 1 << 23
+#: Shingles of a chunk of a group, about.
+WORDS = 1 << 22
 #: Leaders of a group of texts that share all their shingles.
 LEADERS = 4
 
@@ -221,17 +223,6 @@ def _possible(pairs: DataFrame, nodes: DataFrame, similarity: tuple[int, int]) -
     return _with_facts(pairs, one, other).select("u", "v", "nu", "nv", "bu", "bv").mapInArrow(run, "u long, v long")
 
 
-def _folded(nodes: DataFrame) -> DataFrame:
-    """(fp, bits): the parities of each node over PLACES places."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
-            out = [np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, PLACES // 8), axis=0).tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], names=["fp", "bits"])
-
-    return nodes.select("fp", "bits").mapInArrow(run, "fp long, bits binary")
-
-
 def allowed(fp: np.ndarray, n: np.ndarray, root: np.ndarray, bits: np.ndarray, side: np.ndarray, similarity: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Of one unit's rows the pairs of different roots that sizes and parities allow; sides 0 and 1 meet each other, side 2 itself."""
     p, q = similarity
@@ -306,7 +297,7 @@ def _units(batches: Iterator[pa.RecordBatch], columns, done) -> Iterator[pa.Reco
 def _dealt(rows: DataFrame) -> DataFrame:
     """The stored rows (token, fp, n, root) once for each unit, a chunk of a token's rows with a chunk of them: (unit, side, fp, n, root)."""
     sizes = rows.groupBy("token").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("words"))
-    sizes = sizes.withColumn("chunks", F.ceil(F.greatest(F.col("many") / CHUNK, F.col("words") / (CHUNK * PLACES))).cast("int")).filter("chunks > 1").drop("words")
+    sizes = sizes.withColumn("chunks", F.ceil(F.greatest(F.col("many") / CHUNK, F.col("words") / WORDS)).cast("int")).filter("chunks > 1").drop("words")
     dealt = evenly_joined(rows, sizes, ["token"], ["fp"], rows.count(), "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     return dealt.select(
@@ -326,16 +317,26 @@ def _close(rest: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, sim
     def numbers(b: pa.RecordBatch) -> list[np.ndarray]:
         return [np.asarray(b.column(i)) for i in range(5)]
 
-    def with_bits(b: pa.RecordBatch) -> list[np.ndarray]:
-        return [*numbers(b), binary_buffer(b.column(5))[0].view(np.uint64).reshape(-1, PLACES // 64)]
+    def with_bits(b: pa.RecordBatch) -> list:
+        return [*numbers(b), b.column(5).to_pylist()]
 
     def with_sets(b: pa.RecordBatch) -> list:
         raw, at = binary_buffer(b.column(5))
         return [*numbers(b), [np.frombuffer(raw[s:e].tobytes(), np.uint64) for s, e in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]]
 
     def possible(fp, n, root, bits, side) -> tuple[np.ndarray, np.ndarray]:
-        ids, pairs = np.unique(fp), allowed(fp, n, root, bits, side, similarity)
-        label = simhash._merge(np.arange(len(ids)), *(np.searchsorted(ids, x) for x in pairs))
+        ids, width = np.unique(fp), np.array([len(x) for x in bits])
+        label = np.arange(len(ids))
+        for w in np.unique(width).tolist():  # sets of a similarity over a half have as many places, or twice as many
+            same, twice = width == w, width == 2 * w
+            own, zero, one = (side == x for x in (2, 0, 1))
+            for left, right in ((same & own, None), (same & own, twice & own), (same & zero, same & one), (same & zero, twice & one), (twice & zero, same & one)):
+                at = np.flatnonzero(left) if right is None else np.r_[np.flatnonzero(left), np.flatnonzero(right)]
+                if len(at) < 2 or not left.any() or (right is not None and not right.any()):
+                    continue
+                table = np.array([np.bitwise_xor.reduce(np.frombuffer(bits[i], np.uint64).reshape(-1, w // 8), axis=0) for i in at.tolist()])
+                sides = np.full(len(at), 2) if right is None else np.r_[np.zeros(left.sum(), int), np.ones(right.sum(), int)]
+                label = simhash._merge(label, *(np.searchsorted(ids, x) for x in allowed(fp[at], n[at], root[at], table, sides, similarity)))
         some = np.flatnonzero(label != np.arange(len(ids)))
         return ids[label[some]], ids[some]
 
@@ -353,7 +354,7 @@ def _close(rest: DataFrame, rows: DataFrame, nodes: DataFrame, shingle: int, sim
         run = lambda batches: _units(batches, columns, done)
         return units.repartition("unit").sortWithinPartitions("unit", "side", "fp").mapInArrow(run, "u long, v long").distinct()
 
-    near = stored(edges(_dealt(rest).join(_folded(nodes), "fp").select("unit", "side", "fp", "n", "root", "bits"), with_bits, possible), "possible")
+    near = stored(edges(_dealt(rest).join(nodes.select("fp", "bits"), "fp").select("unit", "side", "fp", "n", "root", "bits"), with_bits, possible), "possible")
     groups = stored(components(near), "groups")
     facts = rest.select("fp", "n", "root").distinct()
     members = stored(groups.join(facts, groups["node"] == facts["fp"]).select(F.col("component").alias("token"), "fp", "n", "root"), "members")
