@@ -423,21 +423,18 @@ def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _tasks(spark: SparkSession, n: int, run: Callable[[int], Iterator[tuple]], schema: pa.Schema, sql: str, each: int = 1) -> DataFrame:
-    """The rows that ``run`` gives for each of the numbers below n, so many of them in a task."""
+def _tasks(spark: SparkSession, n: int, run: Callable[[int], list], each: int = 1) -> list:
+    """What ``run`` gives for each of the numbers below n, so many of them in a task."""
 
-    def all_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in b.column(0).to_pylist():
-                for row in run(i):
-                    yield _rows(schema, [row])
+    def all_(numbers: Iterator[int]) -> Iterator:
+        for i in numbers:
+            yield from run(i)
         give_back()
 
-    return spark.range(0, n, 1, -(-n // each)).mapInArrow(all_, sql)
+    return spark.sparkContext.parallelize(range(n), -(-n // each)).mapPartitions(all_).collect()
 
 
 _CUT = pa.schema([("shard", pa.int32()), ("piece", pa.int32()), ("slice", pa.int32()), ("at", pa.binary()), ("data", pa.binary())])
-_SUM = pa.schema([("net", pa.int32()), ("slice", pa.int32()), ("task", pa.int32()), ("weight", pa.int64()), ("at", pa.binary()), ("data", pa.binary())])
 SLICE = (PARTS << BITS) // SLICES
 
 
@@ -478,7 +475,7 @@ def cut(texts: DataFrame, shards: int, base: str, s: Settings) -> tuple[list[tup
 
     h, shard = F.xxhash64("doc_id", F.lit(1)), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(shards)).cast("int")
     rows = texts.select("text", F.coalesce("lang", F.lit("")).alias("lang"), "y", h.alias("h"), shard.alias("shard"), "doc_id")
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "h", "doc_id").drop("doc_id")
+    rows = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h", "doc_id").drop("doc_id")
     table = stored(rows.mapInArrow(write, "shard int, piece int, slice int, at binary, data binary"), "cut")
     found = sorted((r.shard, r.piece, r["data"]) for r in table.filter("slice < 0").collect())
 
@@ -488,11 +485,11 @@ def cut(texts: DataFrame, shards: int, base: str, s: Settings) -> tuple[list[tup
             for i, at, data in zip(*(b.column(c).to_pylist() for c in ("slice", "at", "data")), strict=True):
                 sums.setdefault(i, np.zeros(s.nets * SLICE, np.int64))[np.frombuffer(at, np.int32)] += np.frombuffer(data, np.int32)
         for i, x in sums.items():
-            yield _rows(_CUT, [(0, 0, i, b"", x.tobytes())])
+            yield _rows(_CUT, [(0, 0, i, b"", np.minimum(x, 2**31 - 1).astype(np.int32).tobytes())])
 
-    uses = np.zeros((s.nets, PARTS << BITS), np.int64)
+    uses = np.zeros((s.nets, PARTS << BITS), np.int32)
     for r in table.filter("slice >= 0").repartition("slice").mapInArrow(add, table.schema).collect():
-        uses[:, r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r["data"], np.int64).reshape(s.nets, SLICE)
+        uses[:, r.slice * SLICE : (r.slice + 1) * SLICE] = np.frombuffer(r["data"], np.int32).reshape(s.nets, SLICE)
     dropped(table)
     return [(f"{base}/{shard}-{piece}", np.frombuffer(data, np.int64).reshape(s.nets, 2)) for shard, piece, data in found], uses
 
@@ -524,56 +521,59 @@ def _rest(net: Net) -> np.ndarray:
 
 def _round(spark: SparkSession, pieces: list[str], states: list[_State], all_of: list[bool], s: Settings, now: range, epochs: list[int]) -> None:
     """Train every network on every piece for these epochs (those it has of them) and average what comes of it."""
-    units = [(uri, number, task) for number in range(s.nets) if now.start < epochs[number] for task, uri in enumerate(pieces)]
-    shared = spark.sparkContext.broadcast(states)
+    units = [(uri, number) for number in range(s.nets) if now.start < epochs[number] for uri in pieces]
+    base, shared = scratch_path(spark, "round"), spark.sparkContext.broadcast(states)
 
-    def run(i: int) -> Iterator[tuple]:
-        uri, number, task = units[i]
+    def run(i: int) -> list:
+        uri, number = units[i]
         own, state = Piece(uri), shared.value[number]
         texts = np.arange(len(own.y)) if all_of[number] else np.flatnonzero(own.share != number)
         if not len(texts):
-            return
+            return []
         net = state.net(s, number)
         mine = range(now.start, min(now.stop, epochs[number]))
-        at = np.flatnonzero(learn(net, state.known, own.rows, own.first, own.y.astype(np.float32), s, texts, mine, epochs[number], (s.seed + number, task)))
+        at = np.flatnonzero(learn(net, state.known, own.rows, own.first, own.y.astype(np.float32), s, texts, mine, epochs[number], (s.seed + number, i % len(pieces))))
+        parts = []
         for k in range(SLICES):
             part = at[(at >= k * SLICE) & (at < (k + 1) * SLICE)]
-            if len(part):
-                yield number, k, task, 1, (part - k * SLICE).astype(np.int32).tobytes(), net.table[part].tobytes()
-        rest = _rest(net)
-        yield number, -1, task, len(texts), np.arange(len(rest), dtype=np.int32).tobytes(), rest.tobytes()
-
-    def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sums, weights = None, None, None
-
-        def out() -> pa.RecordBatch:
-            some = np.flatnonzero(weights)
-            return _rows(_SUM, [(*key, 0, 0, some.astype(np.int32).tobytes(), (sums[some] / weights[some, None]).astype(np.float32).tobytes())])
+            parts.append((part - k * SLICE).astype(np.int32).tobytes() + net.table[part].tobytes())
+        parts.append(_rest(net).tobytes())
+        put_file(f"{base}/{i}", np.cumsum([8 * (SLICES + 2), *map(len, parts)]).astype(np.int64).tobytes() + b"".join(parts))
+        return [(number, i, len(texts))]
+
+    done = sorted(_tasks(spark, len(units), run))
+    means = [(number, k) for number in sorted({x[0] for x in done}) for k in range(SLICES + 1)]
+
+    def mean(i: int) -> list:
+        """The mean of a slice of a network's table, over the tasks that changed a row, or of the rest of it, by texts."""
+        number, k = means[i]
+        sums, weights = None, None
+        for _, task, texts in (x for x in done if x[0] == number):
+            with opened(f"{base}/{task}", "rb") as f:
+                ends = np.frombuffer(f.read(8 * (SLICES + 2)), np.int64)
+                f.seek(int(ends[k]))
+                data = f.read(int(ends[k + 1] - ends[k]))
+            n = len(data) // (4 * (1 + s.dims)) if k < SLICES else len(data) // 4
+            at = np.frombuffer(data, np.int32, n) if k < SLICES else np.arange(n)
+            values = np.frombuffer(data, np.float32, offset=4 * n if k < SLICES else 0).reshape(n, -1 if n else s.dims)
+            if sums is None:
+                size = SLICE if k < SLICES else n
+                sums, weights = np.zeros((size, s.dims if k < SLICES else 1)), np.zeros(size)
+            weight = 1 if k < SLICES else texts
+            sums[at] += weight * values.astype(np.float64)
+            weights[at] += weight
+        some = np.flatnonzero(weights)
+        return [(number, k, some.astype(np.int32).tobytes(), (sums[some] / weights[some, None]).astype(np.float32).tobytes())]
 
-        for b in batches:
-            for number, k, _, weight, at, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                at = np.frombuffer(at, np.int32)
-                values = np.frombuffer(data, np.float32).reshape(len(at), -1)
-                if (number, k) != key:
-                    if key:
-                        yield out()
-                    key, n = (number, k), SLICE if k >= 0 else len(at)
-                    sums, weights = np.zeros((n, values.shape[1])), np.zeros(n)
-                sums[at] += weight * values.astype(np.float64)
-                weights[at] += weight
-        if key:
-            yield out()
-
-    sql = "net int, slice int, task int, weight long, at binary, data binary"
-    made = _tasks(spark, len(units), run, _SUM, sql).repartition("net", "slice").sortWithinPartitions("net", "slice", "task")
     changed: dict[int, list] = {}
-    for r in sorted(made.mapInArrow(mean, sql).collect(), key=lambda r: (r.net, r.slice)):
-        at, values = np.frombuffer(r["at"], np.int32), np.frombuffer(r["data"], np.float32)
-        if r.slice < 0:
-            states[r.net].rest = values
+    for number, k, at, values in sorted(_tasks(spark, len(means), mean)):
+        at, values = np.frombuffer(at, np.int32), np.frombuffer(values, np.float32)
+        if k == SLICES:
+            states[number].rest = values
         else:
-            changed.setdefault(r.net, []).append((at.astype(np.int64) + r.slice * SLICE, values.reshape(len(at), -1)))
+            changed.setdefault(number, []).append((at.astype(np.int64) + k * SLICE, values.reshape(len(at), s.dims)))
     shared.destroy()
+    delete_path(spark, base)
     for number, parts in changed.items():
         state, at, values = states[number], *(np.concatenate(x) for x in zip(*parts, strict=True))
         old = np.isin(state.at, at, invert=True)
@@ -588,16 +588,16 @@ def _judged(spark: SparkSession, pieces: list[str], model: Model, all_of: list[b
     """Write beside each piece the logits of its texts by the networks that have not seen them (nan where there is none)."""
     shared = spark.sparkContext.broadcast(model)
 
-    def run(i: int) -> Iterator[tuple]:
+    def run(i: int) -> list:
         own, nets = Piece(pieces[i]), shared.value.nets
         z = np.full(len(own.y), np.nan)
         for d in range(len(z)):
             if not all_of[own.share[d]]:
                 z[d] = nets[own.share[d]].logits(own.rows[own.first[d] : own.first[d + 1]], np.array([0, own.first[d + 1] - own.first[d]]))[0]
         put_file(f"{pieces[i]}.z", z.tobytes())
-        yield (i,)
+        return []
 
-    _tasks(spark, len(pieces), run, pa.schema([("i", pa.int32())]), "i int").collect()
+    _tasks(spark, len(pieces), run)
     shared.destroy()
 
 
@@ -610,25 +610,30 @@ def _calibrated(spark: SparkSession, pieces: list[str], model: Model, weights: n
         return own, z[some], some
 
     def sums(a: float, b: float) -> np.ndarray:
-        def run(i: int) -> Iterator[tuple]:
+        def run(i: int) -> list:
             own, z, some = logits(pieces[i])
-            yield i, slopes(z, own.y[some], a, b).tobytes()
+            return [slopes(z, own.y[some], a, b)]
 
-        found = sorted(_tasks(spark, len(pieces), run, pa.schema([("i", pa.int32()), ("data", pa.binary())]), "i int, data binary", each).collect())
-        return np.sum([np.frombuffer(r["data"]).reshape(2, 5) for r in found], axis=0)
+        return np.sum(_tasks(spark, len(pieces), run, each), axis=0)  # in the order of the pieces
 
     def counted(options: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         scale = model.scale
 
-        def run(i: int) -> Iterator[tuple]:
+        schema = pa.schema([("lang", pa.string()), ("y", pa.int32()), ("level", pa.int32()), ("n", pa.int64())])
+
+        def run(i: int) -> pa.RecordBatch:
             own, z, some = logits(pieces[i])
             level = np.searchsorted(options, 1 / (1 + np.exp(-np.clip(scale[0] * z + scale[1], -60, 60))), "right")
             kinds, n = np.unique(np.stack([own.lang[some], own.y[some], level]), axis=1, return_counts=True)
-            for (lang, y, x), k in zip(kinds.T.tolist(), n.tolist(), strict=True):
-                yield own.names[lang], y, x, k
+            return pa.RecordBatch.from_arrays([pa.array([own.names[x] for x in kinds[0].tolist()], pa.string()), *(pa.array(x, f.type) for x, f in zip((*kinds[1:], n), list(schema)[1:], strict=True))], schema=schema)
 
-        schema = pa.schema([("lang", pa.string()), ("y", pa.int32()), ("level", pa.int32()), ("n", pa.int64())])
-        table = stored(_tasks(spark, len(pieces), run, schema, "lang string, y int, level int, n long", each), "levels")
+        def all_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in b.column(0).to_pylist():
+                    yield run(i)
+
+        numbers = spark.range(0, len(pieces), 1, -(-len(pieces) // each))
+        table = stored(numbers.mapInArrow(all_, "lang string, y int, level int, n long"), "levels")
 
         def filled(rows) -> np.ndarray:
             out = np.zeros((2, len(options) + 1))
